@@ -1,0 +1,30 @@
+"""Connected components of an edge table, by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.plans.stored import stored
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``(id, component)`` for every id of ``edges(a, b)``: the smallest id that it reaches.
+
+    Each round takes the least label among the neighbours (pre-aggregated before the shuffle, so a node with very many
+    neighbours is no burden) and then follows the label's own label. Rounds end when no label changes. Every round is
+    a written table. An empty edge table gives an empty result; repeated edges and self loops change nothing.
+    """
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct()
+    both = stored(both, "links")
+    labels = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
+        moved = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to"))
+        jump = moved.select(F.col("id").alias("to"), F.col("to").alias("jump"))
+        # a label is always the id of some node of the same component, so this join loses nothing
+        labels = stored(moved.join(jump, "to").select("id", F.least("to", "jump").alias("component"), F.col("component").alias("was")), "labels")
+        changed = labels.filter("component <> was").limit(1).count()
+        labels = labels.drop("was")
+        if not changed:
+            return labels
