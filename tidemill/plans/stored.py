@@ -31,3 +31,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its rows, of at most ``row_bytes``, fit the bound; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
