@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tidemill.llm import near_dedup
+from tidemill.llm import mixing, near_dedup, quality, substring_dedup
 
 
 def queries() -> dict:
-    return {"op3_odd_sketch_near_dedup": near_dedup.op3_odd_sketch_near_dedup}
+    return {
+        "op3_odd_sketch_near_dedup": near_dedup.op3_odd_sketch_near_dedup,
+        "op4_temperature_mixing": mixing.op4_temperature_mixing,
+        "op5_line_frequency_quality": quality.op5_line_frequency_quality,
+        "op9_rabin_karp_substring_dedup": substring_dedup.op9_rabin_karp_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_temperature_mixing": mixing.OP4_SQL, "op5_line_frequency_quality": quality.OP5_SQL}
