@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, near_dedup, quality, substring_dedup
+from tidemill.llm import bpe, language, mixing, near_dedup, neighbours, quality, substring_dedup
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         "op3_odd_sketch_near_dedup": near_dedup.op3_odd_sketch_near_dedup,
         "op4_temperature_mixing": mixing.op4_temperature_mixing,
         "op5_line_frequency_quality": quality.op5_line_frequency_quality,
+        "op7_compression_language": language.op7_compression_language,
+        "op8_speculative_bpe": bpe.op8_speculative_bpe,
         "op9_rabin_karp_substring_dedup": substring_dedup.op9_rabin_karp_substring_dedup,
+        "op10_vantage_point_neighbours": neighbours.op10_vantage_point_neighbours,
     }
 
 
