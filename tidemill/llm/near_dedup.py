@@ -24,11 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import WordHashes, byte_values, mixed, shingles
+from tidemill.llm.words import byte_values, mixed, shingles, word_hashes
 from tidemill.plans.components import connected_components
-from tidemill.plans.stored import stored
+from tidemill.plans.stored import small_side, stored
 
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 256
+FEW = 8  # members of a bucket whose pairs are tested in place
 BLOCK = 256  # documents of a block, compared with one another in one task
 COLUMNS = 4096  # shingles that a block compares at a time
 
@@ -78,7 +79,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``(doc_id, n_shingles, key, bands, s0..s3)``; ``key`` is a digest of the whole set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = word_hashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -106,7 +107,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(x or b"") for x in byte_values(batch.column(1))], pa.binary())], ["rep", "text"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(ids.select(F.col("rep").alias("doc_id")), 24), "doc_id", "left_semi")
     return wanted.mapInArrow(run, "rep long, text binary").dropDuplicates(["rep"])
 
 
@@ -150,7 +151,8 @@ def block_links(sets: list[np.ndarray], components: np.ndarray, percent: int) ->
     return connected(np.triu((100 * common >= percent * together) & (components[:, None] != components[None, :]), 1))
 
 
-def _sets(texts: pd.Series, words: int, known: WordHashes) -> list[np.ndarray]:
+def _sets(texts: pd.Series, words: int) -> list[np.ndarray]:
+    known = word_hashes()
     press = zstandard.ZstdDecompressor()
     return [shingles(known.of(press.decompress(t).lower().split()), words) for t in texts]
 
@@ -173,8 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # 1. buckets with more than one representative
     placed = reps.select("rep", F.explode("bands").alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = stored(placed.join(full, "bucket"), "members")
+    full = stored(placed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "full")
+    members = stored(placed.join(small_side(full, 32), "bucket"), "members")
     degree = members.groupBy("rep").agg(F.sum("members").alias("degree"))
     seen = stored(degree.join(reps.drop("bands"), "rep"), "seen")
     texts = stored(packed_texts(docs, seen), "texts")
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     dealt = dealt.union(shares.select(F.col("centre").alias("rep"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")))
 
     def to_centre(group: pd.DataFrame) -> pd.DataFrame:
-        sets = _sets(group["text"], words, WordHashes())
+        sets = _sets(group["text"], words)
         ids, centre = group["rep"].to_numpy(), group["centre"].iloc[0]
         middle = sets[int(np.flatnonzero(ids == centre)[0])]
         found = []
@@ -206,11 +208,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # 3. what shares a bucket across components: sketches first, in blocks
     placed = stored(members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    parts = placed.join(open_, "bucket").join(seen.select("rep", *sketch), "rep").withColumn("parts", F.ceil(F.col("members") / BLOCK))
+    parts = stored(placed.join(open_, "bucket").join(seen.select("rep", *sketch), "rep"), "open")
+    # most buckets hold a few: their pairs are tested in place, and only those pass on that the sketches let through
+    few = parts.filter(F.col("members") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "component", *sketch))).alias("m")).select("m").distinct()
+    bits = lambda x, y: sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in sketch[1:]), F.bit_count(x["s0"].bitwiseXOR(y["s0"])))
+    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("x.rep")) & (y["component"] != F.col("x.component")) & (bits(F.col("x"), y) <= limit))).alias("y"))
+    few = few.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    parts = parts.filter(F.col("members") > FEW).withColumn("parts", F.ceil(F.col("members") / BLOCK))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
     cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
 
     def by_sketch(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")  # so that a bucket's ties are to its smallest, and those of other bands repeat them
         bits = group[sketch].to_numpy(np.int64).view(np.uint64)
         component = group["component"].to_numpy()
         apart = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
@@ -218,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         ids = group["rep"].to_numpy()
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    likely = stored(cells.groupBy("bucket", "i", "j").applyInPandas(by_sketch, "a long, b long").distinct(), "likely")
+    likely = stored(cells.groupBy("bucket", "i", "j").applyInPandas(by_sketch, "a long, b long").union(few).distinct(), "likely")
     groups = connected_components(likely)
 
     # 4. all pairs of each such group across components, on full sets: blocks of like size, as sets that differ more than
@@ -244,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if (component == component[0]).all():
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         ids = group["rep"].to_numpy()
-        found = block_links(_sets(group["text"], words, WordHashes()), component, percent)
+        found = block_links(_sets(group["text"], words), component, percent)
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     rest = spread.join(texts, "rep").groupBy("grp", "lo", "hi", "i", "j").applyInPandas(by_set, "a long, b long")

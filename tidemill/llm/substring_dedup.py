@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import WordHashes, byte_values, mixed
+from tidemill.llm.words import byte_values, mixed, word_hashes
 from tidemill.plans.stored import BROADCAST_BYTES, stored
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -88,7 +88,7 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """All windows of ``docs``, packed by chunk and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, roller, chunk, total, part, number = WordHashes(), Roller(size), [], 0, TaskContext.get().partitionId(), 0
+        known, roller, chunk, total, part, number = word_hashes(), Roller(size), [], 0, TaskContext.get().partitionId(), 0
 
         def batch_of() -> pa.RecordBatch:
             rows = list(_chunk_rows(chunk, (part << 24) + number, bits))

@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than space and the control characters 9 t
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh64_intdigest
@@ -26,6 +28,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The one of this process, so that groups of one task share what it remembers."""
+    return WordHashes()
+
+
 def byte_values(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
