@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, language, mixing, near_dedup, neighbours, quality, substring_dedup
+import corpus_pipeline
+from tidemill.llm import bpe, html_text, language, mixing, near_dedup, neighbours, pii, quality, quotes, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_quotation_linking": quotes.op1_quotation_linking,
+        "op1_quotation_roundtrip": quotes.op1_quotation_roundtrip,
+        "op2_boosted_html_text": html_text.op2_boosted_html_text,
         "op3_odd_sketch_near_dedup": near_dedup.op3_odd_sketch_near_dedup,
         "op4_temperature_mixing": mixing.op4_temperature_mixing,
         "op5_line_frequency_quality": quality.op5_line_frequency_quality,
+        "op6_semi_markov_pii": pii.op6_semi_markov_pii,
         "op7_compression_language": language.op7_compression_language,
         "op8_speculative_bpe": bpe.op8_speculative_bpe,
         "op9_rabin_karp_substring_dedup": substring_dedup.op9_rabin_karp_substring_dedup,
         "op10_vantage_point_neighbours": neighbours.op10_vantage_point_neighbours,
+        "pipeline": corpus_pipeline.run,
     }
 
 
