@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tidemill.plans import q_series
+from tidemill.plans.catalogue import QUERIES, SQL
+
+MODULES = (q_series,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
