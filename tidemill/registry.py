@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.plans import q_series
+from tidemill.plans import q_eda, q_series
 from tidemill.plans.catalogue import QUERIES, SQL
 
-MODULES = (q_series,)
+MODULES = (q_series, q_eda)
 
 
 def queries() -> dict:
