@@ -63,14 +63,16 @@ def quality(docs: DataFrame) -> DataFrame:
     # a text's place is known by its host and its digest, so rows that repeat change nothing
     marked = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     hits = stored(common_lines(marked), "common")
-    joined = base_counts(marked).join(small_side(hits, 400), ["_host", "_digest"], "left")
+    # a filter on the verdict must not be pushed below the counts: their nested expressions would be put into one another
+    counted = base_counts(marked).withColumn("_row", F.monotonically_increasing_id())
+    joined = counted.join(small_side(hits, 400), ["_host", "_digest"], "left")
     clean = lambda line: F.trim(F.lower(F.regexp_replace(line, SPACE, " ")))
     kept_text = F.when(F.col("_common").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_common", F.xxhash64(clean(x)))), "\n"))
     joined = joined.withColumn("kept_text", kept_text)
     left = F.when(F.col("_common").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("kept_text"))))
     joined = joined.withColumn("n_kept_words", left.cast("long"))
     depleted = F.col("_common").isNotNull() & ((F.col("n_kept_words") < MIN_WORDS) | (100 * F.col("n_kept_words") < KEPT_PERCENT * F.col("n_words")))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_digest", "_common")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)).drop("_host", "_digest", "_common", "_row")
 
 
 def op5_line_frequency_quality(spark, sf_dir):
