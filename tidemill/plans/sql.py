@@ -57,6 +57,7 @@ tc AS (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY ts) - 1 AS
 # forecasts of the target: persistence and a fixed linear rule, in long form
 FORECASTS = """pr AS (SELECT ts AS issue_ts, split, CAST(h AS BIGINT) AS horizon, actual, model, CASE model WHEN 'persistence' THEN water_level ELSE 0.6::DOUBLE * water_level + 0.3::DOUBLE * mean_24 + 0.1::DOUBLE * lag_24 END AS prediction
   FROM (SELECT ts, split, water_level, mean_24, lag_24, unnest([1, 6, 12, 24]) AS h, unnest([t1, t6, t12, t24]) AS actual FROM tc), (SELECT unnest(['persistence', 'linear']) AS model))"""
-METRICS = """CAST(count(*) AS BIGINT) AS n, round(avg(abs(prediction - actual)), 6) AS mae, round(sqrt(avg(power(prediction - actual, 2))), 6) AS rmse, round(avg(prediction - actual), 6) AS me,
-round(CASE WHEN var_pop(actual) = 0 THEN CASE WHEN sum(power(prediction - actual, 2)) = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sum(power(prediction - actual, 2)) / (count(*) * var_pop(actual)) END, 6) AS r2"""
+# a nudge before rounding, so that exact halves fall alike whatever the order of summation
+METRICS = """CAST(count(*) AS BIGINT) AS n, round(avg(abs(prediction - actual)) + 1e-9, 6) AS mae, round(sqrt(avg(power(prediction - actual, 2))) + 1e-9, 6) AS rmse, round(avg(prediction - actual) + 1e-9, 6) AS me,
+round(CASE WHEN var_pop(actual) = 0 THEN CASE WHEN sum(power(prediction - actual, 2)) = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sum(power(prediction - actual, 2)) / (count(*) * var_pop(actual)) END + 1e-9, 6) AS r2"""
 ALL = f"{BASE}, {FEATURES}, {COHORT}, {FORECASTS}"

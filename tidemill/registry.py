@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.plans import q_eda, q_series
+from tidemill.plans import q_eda, q_runlog, q_series
 from tidemill.plans.catalogue import QUERIES, SQL
 
-MODULES = (q_series, q_eda)
+MODULES = (q_series, q_eda, q_runlog)
 
 
 def queries() -> dict:
