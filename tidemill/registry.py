@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.plans import q_eda, q_runlog, q_series
+from tidemill.plans import q_eda, q_models, q_runlog, q_series
 from tidemill.plans.catalogue import QUERIES, SQL
 
-MODULES = (q_series, q_eda, q_runlog)
+MODULES = (q_series, q_eda, q_runlog, q_models)
 
 
 def queries() -> dict:
