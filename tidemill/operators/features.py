@@ -10,7 +10,9 @@ from tidemill.config import CHANGES, EMBARGO, FOLDS, HORIZON, INITIAL_FRACTION,
 from tidemill.operators.grid import gap_filled
 from tidemill.sources.readings import readings, weather
 
-W = Window.partitionBy("station_id", "split").orderBy("ts")
+def own():
+    """The order of a station's hours; no window crosses the split."""
+    return Window.partitionBy("station_id", "split").orderBy("ts")
 NUDGE = 1e-9  # before rounding, so that exact halves fall alike whatever the order of summation
 SCORED = (1, 6, 12, 24)  # horizons that the registered queries score
 
@@ -33,23 +35,23 @@ def split(frames: DataFrame, target: str = TARGET, fraction: float = TEST_FRACTI
 
 
 def lag(k: int):
-    return F.lag("water_level", k).over(W)
+    return F.lag("water_level", k).over(own())
 
 
 def complete(agg, col: str, w: int):
     """``agg`` over the ``w`` hours up to now, null unless all of them have a value."""
-    frame = W.rowsBetween(-(w - 1), 0)
+    frame = own().rowsBetween(-(w - 1), 0)
     return F.when(F.count(col).over(frame) == w, F.round(agg(F.col(col)).over(frame), 6))
 
 
 def imputed_count(w: int):
-    frame = W.rowsBetween(-(w - 1), 0)
+    frame = own().rowsBetween(-(w - 1), 0)
     return F.when(F.count("*").over(frame) == w, F.sum(F.col("imputed").cast("int")).over(frame).cast("double"))
 
 
 def eligible(horizon: int = HORIZON):
     """All of the next ``horizon`` hours are observed: present and not imputed."""
-    return F.count_if(F.col("water_level").isNotNull() & ~F.col("imputed")).over(W.rowsBetween(1, horizon)) == horizon
+    return F.count_if(F.col("water_level").isNotNull() & ~F.col("imputed")).over(own().rowsBetween(1, horizon)) == horizon
 
 
 def feature_columns() -> dict:
@@ -62,14 +64,20 @@ def feature_columns() -> dict:
     return out
 
 
+def feature_names() -> list[str]:
+    """The names of ``feature_columns``, which need no session."""
+    levels = [f"{n}_{w}" for w in WINDOWS for n in ("mean", "std", "min", "max", "imputed_count", "precipitation", "temperature_mean")]
+    return [*(f"lag_{k}" for k in LAGS), *(f"change_{k}" for k in CHANGES), *levels, "temperature_min_24", "temperature_max_24", "target_valid"]
+
+
 def targets(horizons=SCORED) -> dict:
-    return {f"t{h}": F.lead("water_level", h).over(W) for h in horizons}
+    return {f"t{h}": F.lead("water_level", h).over(own()) for h in horizons}
 
 
 def forward_targets(horizon: int = HORIZON) -> dict:
     """All targets, null unless every one of them is observed. Names carry the hour with two digits or more."""
     digits = max(2, len(str(horizon)))
-    return {f"target_t_plus_{h:0{digits}d}": F.when(eligible(horizon), F.lead("water_level", h).over(W)) for h in range(1, horizon + 1)}
+    return {f"target_t_plus_{h:0{digits}d}": F.when(eligible(horizon), F.lead("water_level", h).over(own())) for h in range(1, horizon + 1)}
 
 
 def featured(spark: SparkSession, sf_dir: str, kind: str = "dense") -> DataFrame:

@@ -234,7 +234,7 @@ def eligible_rows(spark, sf):
 @query("exclusion_reasons", f"""WITH {q.ALL}, x AS (SELECT split, NOT target_valid AS no_target, (lag_72 IS NULL OR mean_72 IS NULL OR water_level IS NULL) AS no_predictor, row_number() OVER (PARTITION BY station_id, split ORDER BY ts) <= 72 AS warm FROM ft)
 SELECT split, CAST(count(CASE WHEN no_target AND NOT no_predictor THEN 1 END) AS BIGINT) AS target_only, CAST(count(CASE WHEN no_predictor AND NOT no_target THEN 1 END) AS BIGINT) AS predictor_only, CAST(count(CASE WHEN no_target AND no_predictor THEN 1 END) AS BIGINT) AS both_reasons, CAST(count(CASE WHEN no_predictor AND warm THEN 1 END) AS BIGINT) AS warm_up FROM x GROUP BY 1""")
 def exclusion_reasons(spark, sf):
-    x = ft.featured(spark, sf).select("split", (~F.col("target_valid")).alias("t"), F.expr("lag_72 is null or mean_72 is null or water_level is null").alias("p"), (F.row_number().over(ft.W) <= 72).alias("warm"))
+    x = ft.featured(spark, sf).select("split", (~F.col("target_valid")).alias("t"), F.expr("lag_72 is null or mean_72 is null or water_level is null").alias("p"), (F.row_number().over(ft.own()) <= 72).alias("warm"))
     t, p = F.col("t"), F.col("p")
     return x.groupBy("split").agg(F.count_if(t & ~p).alias("target_only"), F.count_if(p & ~t).alias("predictor_only"), F.count_if(t & p).alias("both_reasons"), F.count_if(p & F.col("warm")).alias("warm_up"))
 

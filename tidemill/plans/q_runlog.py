@@ -300,10 +300,10 @@ def score_linear(spark, sf):
     return long.join(F.broadcast(weights), "feature").groupBy(F.col("ts").alias("issue_ts"), "horizon").agg(F.round(F.sum(F.col("w") * F.col("value")), 6).alias("prediction"))
 
 
-@query("feature_subsets", f"WITH {q.BASE} SELECT subset, count(*) AS n FROM (SELECT unnest(['level', 'change', 'rolling', 'weather', 'all']) AS subset), (SELECT unnest([" + ", ".join(f"'{n}'" for n in ft.feature_columns()) + "]) AS c) WHERE (SELECT count(*) FROM s) >= 0 AND ((subset = 'level' AND c LIKE 'lag%') OR (subset = 'change' AND c LIKE 'change%') OR (subset = 'rolling' AND regexp_matches(c, '^(mean|std|min|max)_')) OR (subset = 'weather' AND regexp_matches(c, '^(precipitation|temperature)')) OR (subset = 'all' AND c <> 'target_valid')) GROUP BY 1")
+@query("feature_subsets", f"WITH {q.BASE} SELECT subset, count(*) AS n FROM (SELECT unnest(['level', 'change', 'rolling', 'weather', 'all']) AS subset), (SELECT unnest([" + ", ".join(f"'{n}'" for n in ft.feature_names()) + "]) AS c) WHERE (SELECT count(*) FROM s) >= 0 AND ((subset = 'level' AND c LIKE 'lag%') OR (subset = 'change' AND c LIKE 'change%') OR (subset = 'rolling' AND regexp_matches(c, '^(mean|std|min|max)_')) OR (subset = 'weather' AND regexp_matches(c, '^(precipitation|temperature)')) OR (subset = 'all' AND c <> 'target_valid')) GROUP BY 1")
 def feature_subsets(spark, sf):
     """Ablation subsets by the names of a frame's columns."""
-    names = [c for c in ft.featured(spark, sf).columns if c in ft.feature_columns()]
+    names = [c for c in ft.featured(spark, sf).columns if c in ft.feature_names()]
     c = table(spark, sf, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("c"))
     rules = {"level": F.col("c").startswith("lag"), "change": F.col("c").startswith("change"), "rolling": F.col("c").rlike("^(mean|std|min|max)_"), "weather": F.col("c").rlike("^(precipitation|temperature)"), "all": F.col("c") != "target_valid"}
     return c.withColumn("subset", F.explode(F.array_compact(F.array(*(F.when(r, n) for n, r in rules.items()))))).groupBy("subset").agg(F.count("*").alias("n"))

@@ -328,14 +328,14 @@ def forward_targets(spark, sf):
 @query("sequence_windows", f"WITH {q.BASE}, l AS (SELECT station_id, ts, list(water_level) OVER (PARTITION BY station_id, split ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w, count(water_level) OVER (PARTITION BY station_id, split ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM s) SELECT station_id, ts, w[1] AS first_level, w[6] AS last_level, round(list_sum(w), 6) AS total FROM l WHERE n = 6")
 def sequence_windows(spark, sf):
     """Complete sequences of six hours, as arrays; no window crosses the split."""
-    six = ft.W.rowsBetween(-5, 0)
+    six = ft.own().rowsBetween(-5, 0)
     rows = _series(spark, sf, {"w": F.collect_list("water_level").over(six)}).filter(F.size("w") == 6)
     return rows.select("station_id", "ts", F.col("w")[0].alias("first_level"), F.col("w")[5].alias("last_level"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("issue_windows", f"WITH {q.BASE} SELECT station_id, ts, CAST(count(water_level) OVER (PARTITION BY station_id, split ORDER BY ts ROWS BETWEEN 72 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_levels FROM s")
 def issue_windows(spark, sf):
-    return _series(spark, sf, {"n_levels": F.size(F.collect_list("water_level").over(ft.W.rowsBetween(-72, 0))).cast("long")})
+    return _series(spark, sf, {"n_levels": F.size(F.collect_list("water_level").over(ft.own().rowsBetween(-72, 0))).cast("long")})
 
 
 @query("calendar_features", f"""WITH {R} SELECT DISTINCT ts, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, round(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) AS weekday_sin, round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) AS weekday_cos,
