@@ -91,12 +91,15 @@ def mix(docs: DataFrame, **target) -> DataFrame:
     Sorting by (copy, block, place) gives the order of training: in every pass each host's blocks are a permutation of
     its documents. A host gets its weight of the budget in whole passes and one partial pass that ends with the last document
     which fits. Documents without a word take no part; a null source is a host of its own; rows that repeat an id stand
-    or fall together; other columns pass through; an empty table gives an empty result. See ``exponents`` for the targets.
+    or fall together; other columns pass through (those of the added names are replaced); an empty table gives an empty result. See ``exponents`` for the targets.
     """
     plan = stored(mixing_plan(stored(sized(docs), "sized"), **target), "plan")
-    hosted = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns({"host": F.coalesce(F.col("source").cast("string"), F.lit("")), "place": place(F.col("doc_id"))})
+    added = ["copy", "block", "place", "weight", "alpha"]
+    kept = [c for c in docs.columns if c not in added]
+    # the documents' own columns travel packed, so none can be taken for one of the plan's
+    hosted = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.struct(*kept).alias("_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), place(F.col("doc_id")))
     placed = hosted.join(small_side(plan, 200), "host").withColumn("block", block(F.col("place"), F.col("docs")))
-    return _repeats(placed).select(*(hosted[c] for c in docs.columns), "copy", "block", "place", "weight", "alpha")
+    return _repeats(placed).select("_doc.*", *added)
 
 
 def op4_temperature_mixing(spark, sf_dir):

@@ -58,9 +58,13 @@ def quality(docs: DataFrame) -> DataFrame:
     and more than SHARE_OF_HOST of them have it. Common lines are removed; a document is depleted if under MIN_WORDS words
     or KEPT_PERCENT of its words remain. ``kept`` is false for those that fail the base rule or are depleted. Null
     texts count as empty and so fail; a null source is a host of its own. Repeated rows and ties get equal results; other
-    columns pass through; an empty table gives an empty result.
+    columns pass through (those of the added names are replaced); an empty table gives an empty result.
     """
     # a text's place is known by its host and its digest, so rows that repeat change nothing
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_text", "n_kept_words", "kept"]
+    rest = [c for c in docs.columns if c not in {"doc_id", "text", "source", *added}]
+    # other columns travel packed, so none can be taken for one of the steps'
+    docs = docs.select("doc_id", "text", "source", *([F.struct(*rest).alias("_rest")] if rest else []))
     marked = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     hits = stored(common_lines(marked), "common")
     # a filter on the verdict must not be pushed below the counts: their nested expressions would be put into one another
@@ -72,7 +76,7 @@ def quality(docs: DataFrame) -> DataFrame:
     left = F.when(F.col("_common").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("kept_text"))))
     joined = joined.withColumn("n_kept_words", left.cast("long"))
     depleted = F.col("_common").isNotNull() & ((F.col("n_kept_words") < MIN_WORDS) | (100 * F.col("n_kept_words") < KEPT_PERCENT * F.col("n_words")))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)).drop("_host", "_digest", "_common", "_row")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)).select("doc_id", "text", "source", *(["_rest.*"] if rest else []), *added)
 
 
 def op5_line_frequency_quality(spark, sf_dir):

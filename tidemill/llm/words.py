@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from xxhash import xxh64_intdigest
 
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 
 class WordHashes(dict):
