@@ -31,7 +31,7 @@ from tidemill.plans.stored import small_side, stored
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 256
 FEW = 8  # members of a bucket whose pairs are tested in place
 BLOCK = 256  # documents of a block, compared with one another in one task
-COLUMNS = 4096  # shingles that a block compares at a time
+COLUMNS = 1024  # shingles that a block compares at a time
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -222,7 +222,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         group = group.sort_values("rep")  # so that a bucket's ties are to its smallest, and those of other bands repeat them
         bits = group[sketch].to_numpy(np.int64).view(np.uint64)
         component = group["component"].to_numpy()
-        apart = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
+        apart = np.zeros((len(bits), len(bits)), np.int16)
+        for word in bits.T:
+            apart += np.bitwise_count(word[:, None] ^ word[None, :])
         found = connected(np.triu((apart <= limit) & (component[:, None] != component[None, :]), 1))
         ids = group["rep"].to_numpy()
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})

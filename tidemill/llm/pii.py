@@ -207,15 +207,17 @@ class Field:
             best[0, none] = 0
             back: dict[tuple[int, int], tuple[int, int, int]] = {}
             scores = [self.score(a[4]) for a in arcs]
+            ends: dict[int, list[int]] = {}
+            for k, a in enumerate(arcs):
+                ends.setdefault(a[1], []).append(k)
             for j in range(1, n + 1):
                 via = best[j - 1] + self.follow[:, none]
                 best[j, none], back[j, none] = via.max(), (j - 1, int(via.argmax()), -1)
-                for k, a in enumerate(arcs):
-                    if a[1] == j:
-                        step = best[a[0]][:, None] + self.follow[:, :none]
-                        total = step.max(axis=0) + scores[k]
-                        for kind in np.flatnonzero(total > best[j, :none]):
-                            best[j, kind], back[j, int(kind)] = total[kind], (a[0], int(step[:, kind].argmax()), k)
+                for k in ends.get(j, ()):
+                    step = best[arcs[k][0]][:, None] + self.follow[:, :none]
+                    total = step.max(axis=0) + scores[k]
+                    for kind in np.flatnonzero(total > best[j, :none]):
+                        best[j, kind], back[j, int(kind)] = total[kind], (arcs[k][0], int(step[:, kind].argmax()), k)
             at, kind, chosen = n, int(best[n].argmax()), []
             while at:
                 to, last, k = back[at, kind]
