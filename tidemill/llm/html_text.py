@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.sample import smallest_hashes
+
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 300, 40, 4, 0.3, 32, 20
 # Element names, and tokens of attributes that name what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -296,9 +298,9 @@ def relaid(main: list[str], rest: list[str], pick: random.Random) -> tuple[str,
 
 def train(pages: DataFrame) -> Boosted | None:
     """Trees from the SAMPLE pages of smallest hash whose tags tell the main text; only these come to the driver."""
-    drawn = pages.filter(F.length("html").between(1, 200_000) & F.lower("html").rlike("<(article|main)[ >]")).select(F.xxhash64("page_id", "html").alias("key"), "html")
+    drawn = pages.filter(F.length("html").between(1, 200_000) & F.lower("html").rlike("<(article|main)[ >]"))
     xs, ys = [], []
-    for number, (_, source) in enumerate(drawn.orderBy("key").limit(SAMPLE).collect()):
+    for number, source in enumerate(smallest_hashes(drawn, ["page_id", "html"], SAMPLE, "html")):
         page = Page(source)
         holds = page.truth()
         xs.append(page.features())

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemill.llm.sample import smallest_hashes
+
 KINDS = ["email", "ip", "card", "phone", "secret"]  # the first four have fixed patterns
 SAMPLE, EPOCHS, RATE, MOST_UNITS, THRESHOLD = 600, 8, 0.2, 6, 0.7
 DIGITS = re.compile(r"[0-9]")
@@ -243,9 +245,9 @@ def altered(text: str, span: Span, pick: int) -> tuple[str, Span]:
 
 def train(docs: DataFrame) -> Field:
     """A field from the SAMPLE documents of smallest hash that hold a digit or @; only these come to the driver."""
-    hot = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    hot = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
     examples = []
-    for number, (_, text) in enumerate(hot.orderBy("key").limit(SAMPLE).collect()):
+    for number, text in enumerate(smallest_hashes(hot, ["doc_id", "text"], SAMPLE, "text")):
         labelled = base_spans(text) + [(*m.span(), "secret") for m in SEEDS.finditer(text)]
         for zone in zones(text):
             lo, hi = zone[0][0], zone[-1][1]
