@@ -28,3 +28,8 @@ def test_entry_runs_without_the_llm_folders(spark):
 
     assert e.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_known_grid_sizes(spark, sf):
+    assert {r["count"] for r in QUERIES["candidate_grid"](spark, sf).groupBy("station_id").count().collect()} == {52}
+    assert {r["count"] for r in QUERIES["subset_candidate_grid"](spark, sf).groupBy("station_id").count().collect()} == {78}

@@ -86,12 +86,27 @@ def subset_candidate_counts(spark, sf):
     return summary(spark, sf).groupBy("model", "subset").agg(F.count("*").alias("n"), F.count_if(F.col("folds") == 5).alias("n_complete"))
 
 
-@query("candidate_grid", "SELECT station_id, p, d, mq AS q FROM (SELECT DISTINCT event_type AS station_id FROM events), (SELECT CAST(unnest(range(0, 5)) AS BIGINT) AS p), (SELECT CAST(unnest(range(0, 2)) AS BIGINT) AS d), (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS mq) WHERE p + mq > 0")
+_UP = "CAST(unnest(range(0, {})) AS BIGINT)"
+
+
+@query("candidate_grid", f"SELECT station_id, p, d, mq AS q, d = 0 AS intercept FROM (SELECT DISTINCT event_type AS station_id FROM events), (SELECT {_UP.format(7)} AS p), (SELECT {_UP.format(2)} AS d), (SELECT {_UP.format(4)} AS mq) WHERE d = 1 OR p > 0")
 def candidate_grid(spark, sf):
-    """Every order of a small grid for every station; the grid is a fixed array, so nothing is cross-joined."""
-    up = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    """The 52 orders of every station: level models have an intercept and at least one autoregressive term. The ranges are
+    fixed arrays, so nothing is cross-joined."""
     s = table(spark, sf, "events").select(F.col("event_type").alias("station_id")).distinct()
-    return s.withColumn("p", F.explode(up(5))).withColumn("d", F.explode(up(2))).withColumn("q", F.explode(up(3))).filter("p + q > 0")
+    grid_ = s.withColumn("p", F.explode(up_to(7))).withColumn("d", F.explode(up_to(2))).withColumn("q", F.explode(up_to(4))).filter("d = 1 or p > 0")
+    return grid_.withColumn("intercept", F.col("d") == 0)
+
+
+@query("subset_candidate_grid", f"SELECT station_id, subset, p, d, mq AS q FROM (SELECT DISTINCT event_type AS station_id FROM events), (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS subset), (SELECT {_UP.format(3)} AS p), (SELECT {_UP.format(2)} AS d), (SELECT {_UP.format(3)} AS mq) WHERE d = 0 OR (p < 2 AND mq < 2)")
+def subset_candidate_grid(spark, sf):
+    """Thirteen orders for each of six feature subsets, 78 for every station."""
+    s = table(spark, sf, "events").select(F.col("event_type").alias("station_id")).distinct().withColumn("subset", F.explode(F.array(*map(F.lit, "abcdef"))))
+    return s.withColumn("p", F.explode(up_to(3))).withColumn("d", F.explode(up_to(2))).withColumn("q", F.explode(up_to(3))).filter("d = 0 or (p < 2 and q < 2)")
+
+
+def up_to(n):
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
 @query("dedup_params", "SELECT event_type, user_id % 7 AS a, user_id % 3 AS b, min(event_id) AS first_draw FROM events GROUP BY 1, 2, 3")

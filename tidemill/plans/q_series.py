@@ -163,6 +163,14 @@ def gap_runs(spark, sf):
     return out.select("station_id", "start_ts", "end_ts", "hours", reason.alias("reason"), place.alias("place"))
 
 
+@query("weather_gap_runs", f"""WITH {q.BASE}, m AS (SELECT station_id, ts, precipitation, row_number() OVER (PARTITION BY station_id ORDER BY ts) - row_number() OVER (PARTITION BY station_id, precipitation IS NULL ORDER BY ts) AS k FROM s)
+SELECT station_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS hours FROM m WHERE precipitation IS NULL GROUP BY station_id, k""")
+def weather_gap_runs(spark, sf):
+    """Runs of hours without weather."""
+    w = ft.station_frames(spark, sf).withColumn("missing", F.col("precipitation").isNull())
+    return grid.runs(w, "missing", ["station_id"]).filter("missing").drop("missing")
+
+
 @query("longest_observed_run", f"""WITH {SP}, {q.frame(2.0)}, m AS (SELECT station_id, ts, row_number() OVER (PARTITION BY station_id ORDER BY ts) - row_number() OVER (PARTITION BY station_id, level IS NULL ORDER BY ts) AS k, level FROM f),
 g AS (SELECT station_id, k, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS hours FROM m WHERE level IS NOT NULL GROUP BY 1, 2)
 SELECT station_id, start_ts, end_ts, hours FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY hours DESC, start_ts) AS i FROM g) WHERE i = 1""")
