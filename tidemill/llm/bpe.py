@@ -21,7 +21,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import byte_values
 
 REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 400_000
 

@@ -10,7 +10,7 @@ from tidemill.plans.stored import small_side, stored
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 MIN_DOCS, SHARE_OF_HOST = 10, 0.1  # a line is common beyond both: so many documents of its host, and this share of them
-MIN_WORDS, KEPT_PERCENT = 10, 50  # a document is depleted below either
+MIN_WORDS, KEPT_PERCENT = 5, 30  # a document is depleted below either
 
 
 def words_of(text: Column) -> Column:
@@ -108,7 +108,7 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-         AND NOT (words IS NOT NULL AND (n_kept_words < 10 OR 100 * n_kept_words < 50 * n_words)) AS kept,
+         AND NOT (words IS NOT NULL AND (n_kept_words < 5 OR 100 * n_kept_words < 30 * n_words)) AS kept,
        n_kept_words
 FROM base
 """
