@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 400_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 120_000, 120_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -196,8 +196,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -210,8 +210,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(map(bpe.decode, ids))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
