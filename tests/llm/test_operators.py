@@ -154,6 +154,16 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     assert got[5]["kept_text"] == body(5) and not got[0]["kept"] and got[99]["kept_text"] == rows[1][1] and got[99]["kept"]
 
 
+def test_common_lines_dont_depend_on_the_size_of_their_host(spark):
+    body = lambda i: " ".join(f"own{i}x{k}" for k in range(20))
+    rows = [(i, f"{body(i)}\nAll rights reserved" if i < 12 else body(i), "h") for i in range(400)]
+    rows += [(1000 + i, f"{body(1000)}\nA copied line", "h") for i in range(12)]  # copies of one text make no line common
+    rows.append((2000, "All rights reserved\n" * 3 + "only nine own words are left in this document", "h"))
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["kept_text"] == body(i) and got[i]["kept"] for i in range(12))
+    assert got[1000]["kept_text"] == rows[400][1] and not got[2000]["kept"]
+
+
 def test_mixing_meets_its_targets(spark, documents, odd):
     rows = mixing.mix(documents).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.first("weight").alias("w")).toPandas()
     assert rows["n"].max() <= 4

@@ -9,8 +9,9 @@ from tidemill.plans.stored import small_side, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-MIN_DOCS, SHARE_OF_HOST = 10, 0.1  # a line is common beyond both: so many documents of its host, and this share of them
-MIN_WORDS, KEPT_PERCENT = 5, 30  # a document is depleted below either
+MIN_DOCS = 10  # a line is common beyond so many distinct texts of its host, however large the host is
+MIN_WORDS, KEPT_PERCENT = 10, 50  # a document is depleted below either
+OP5_RULE = {"share": 0.1, "min_words": 5, "kept_percent": 30}  # what OP5_SQL fixes: a tenth of the host's texts too, and lower bounds
 
 
 def words_of(text: Column) -> Column:
@@ -39,24 +40,27 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return first.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_sorted", "_places")
 
 
-def common_lines(docs: DataFrame) -> DataFrame:
-    """``(_host, _digest, _common)``: for each text of a host the hashes of its lines that too many of the host's
-    documents have. Documents count once for each distinct text, so copies of one document make no line common."""
+def common_lines(docs: DataFrame, share: float = 0.0) -> DataFrame:
+    """``(_host, _digest, _common)``: for each text of a host the hashes of its lines that more than MIN_DOCS of the host's
+    documents (and more than ``share`` of them, if not 0) have. Documents count once for each distinct text: copies of one
+    document make no line common, near-dedup keeps one of them."""
     line = F.trim(F.lower(F.regexp_replace(F.col("line"), SPACE, " ")))
     lines = docs.select("_host", "_digest", F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line")).withColumn("line", line).filter("line <> ''")
     lines = lines.select("_host", "_digest", F.xxhash64("line").alias("h")).distinct()
-    of_host = docs.select("_host", "_digest").groupBy("_host").agg(F.count_distinct("_digest").alias("docs"))
-    often = lines.groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > MIN_DOCS).join(of_host, "_host").filter(F.col("n") > SHARE_OF_HOST * F.col("docs"))
+    often = lines.groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > MIN_DOCS)
+    if share:
+        of_host = docs.select("_host", "_digest").groupBy("_host").agg(F.count_distinct("_digest").alias("docs"))
+        often = often.join(of_host, "_host").filter(F.col("n") > share * F.col("docs"))
     hits = lines.join(often.select("_host", "h"), ["_host", "h"])
     return hits.groupBy("_host", "_digest").agg(F.collect_set("h").alias("_common"))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, share: float = 0.0, min_words: int = MIN_WORDS, kept_percent: int = KEPT_PERCENT) -> DataFrame:
     """``docs(doc_id, text, source)`` with the counts, ``kept_text`` (the text without common lines) and ``kept``.
 
     A line, lower-cased and with single spaces, is common if more than MIN_DOCS distinct texts of its host (``source``)
-    and more than SHARE_OF_HOST of them have it. Common lines are removed; a document is depleted if under MIN_WORDS words
-    or KEPT_PERCENT of its words remain. ``kept`` is false for those that fail the base rule or are depleted. Null
+    and more than ``share`` of them have it. Common lines are removed; a document is depleted if under ``min_words`` words
+    or ``kept_percent`` of its words remain. ``kept`` is false for those that fail the base rule or are depleted. Null
     texts count as empty and so fail; a null source is a host of its own. Repeated rows and ties get equal results; other
     columns pass through (those of the added names are replaced); an empty table gives an empty result.
     """
@@ -66,25 +70,35 @@ def quality(docs: DataFrame) -> DataFrame:
     # other columns travel packed, so none can be taken for one of the steps'
     docs = docs.select("doc_id", "text", "source", *([F.struct(*rest).alias("_rest")] if rest else []))
     marked = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    hits = stored(common_lines(marked), "common")
+    hits = stored(common_lines(marked, share), "common")
     # a filter on the verdict must not be pushed below the counts: their nested expressions would be put into one another
     counted = base_counts(marked).withColumn("_row", F.monotonically_increasing_id())
-    joined = counted.join(small_side(hits, 400), ["_host", "_digest"], "left")
+    # without a share too many texts have common lines for a broadcast, so they are shuffled at any size
+    joined = counted.join(small_side(hits, 400) if share else hits, ["_host", "_digest"], "left")
     clean = lambda line: F.trim(F.lower(F.regexp_replace(line, SPACE, " ")))
     kept_text = F.when(F.col("_common").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_common", F.xxhash64(clean(x)))), "\n"))
     joined = joined.withColumn("kept_text", kept_text)
     left = F.when(F.col("_common").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("kept_text"))))
     joined = joined.withColumn("n_kept_words", left.cast("long"))
-    depleted = F.col("_common").isNotNull() & ((F.col("n_kept_words") < MIN_WORDS) | (100 * F.col("n_kept_words") < KEPT_PERCENT * F.col("n_words")))
+    depleted = F.col("_common").isNotNull() & ((F.col("n_kept_words") < min_words) | (100 * F.col("n_kept_words") < kept_percent * F.col("n_words")))
     return joined.withColumn("kept", ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)).select("doc_id", "text", "source", *(["_rest.*"] if rest else []), *added)
 
 
-def op5_line_frequency_quality(spark, sf_dir):
-    """Counts and verdict for every document."""
-    out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+def _verdicts(spark, sf_dir, **rule):
+    out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), **rule)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
 
 
+def op5_line_frequency_quality(spark, sf_dir):
+    """Counts and verdict for every document, by the rule that OP5_SQL fixes."""
+    return _verdicts(spark, sf_dir, **OP5_RULE)
+
+
+def op5_line_frequency_fixed(spark, sf_dir):
+    """The same by the pipeline's rule: a fixed limit of distinct texts of a host."""
+    return _verdicts(spark, sf_dir)
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
@@ -112,3 +126,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_kept_words
 FROM base
 """
+
+# the same counts with the fixed limit and the higher bounds
+OP5_FIXED_SQL = OP5_SQL.replace(" AND n > 0.1 * docs", "").replace("n_kept_words < 5 OR 100 * n_kept_words < 30 * n_words", "n_kept_words < 10 OR 100 * n_kept_words < 50 * n_words")
