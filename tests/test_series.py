@@ -106,6 +106,18 @@ def test_histories(spark):
         src.history_rows(spark.createDataFrame([('{"status":{"code":500}}',)], "body string")).collect()
 
 
+def test_landed_histories_are_bounded_and_keep_every_station(spark, tmp_path):
+    from tidemill.plans.q_series import landed_history
+
+    rows = [(k, START + timedelta(seconds=k % 3000), None if k % 50 == 0 else k / 7, ("click", "flood", None)[k % 3]) for k in range(3000)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, event_type string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["station_id"] or "", r["source_ts"], r["value"]) for r in landed_history(spark, str(tmp_path)).collect())
+    assert got == sorted((t or "", ts, round(v, 3)) for _, ts, v, t in rows if v is not None)
+    sizes = [len(r["body"].split("sourceDate")) - 1 for r in src.landed_bodies(events, 50).collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 55 and max(sizes) < 150
+
+
 def test_bad_weather_is_refused(spark, tmp_path):
     head = "time,RR [kg m-2],T2M [degree_Celsius],lat,lon\n"
     for i, bad in enumerate(["2024-01-01T00:00:00,x,1,48,16\n", "soon,1,1,48,16\n", "2024-01-01T00:00:00,1,1,48,16\n2024-01-01T01:00:00,1,1,49,16\n"]):

@@ -48,15 +48,9 @@ def json_history_rows(spark, sf):
 
 @query("landed_history", "SELECT event_type AS station_id, date_trunc('second', ts) AS source_ts, round(value, 3) AS value FROM events WHERE value IS NOT NULL")
 def landed_history(spark, sf):
-    """Histories landed as JSON, one body for each station and day, and read back as rows."""
-    events = table(spark, sf, "events").filter("value is not null")
-    item = F.struct(F.date_format("ts", "dd.MM.yyyy'T'HH:mm:ss'+0000'").alias("sourceDate"), F.round("value", 3).alias("value"))
-    bodies = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.to_json(F.struct(F.struct(F.lit(200).alias("code")).alias("status"), F.struct(F.collect_list(item).alias("history")).alias("payload"))).alias("body"))
-    parts = [src.history_rows(bodies.filter(F.col("event_type") == s)).select(F.lit(s).alias("station_id"), F.col("source_ts").cast("timestamp_ntz").alias("source_ts"), "value") for s in ("click", "purchase", "signup", "view", "error")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """Histories landed as JSON, in bounded bodies of a station and hour, and read back as rows."""
+    bodies = src.landed_bodies(table(spark, sf, "events").filter("value is not null"))
+    return src.history_rows(bodies).select("station_id", F.col("source_ts").cast("timestamp_ntz").alias("source_ts"), "value")
 
 
 @query("backfill_chunks", f"""WITH {R}, b AS (SELECT station_id, min(ts) AS lo, max(ts) AS hi FROM r GROUP BY 1),

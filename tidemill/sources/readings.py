@@ -8,9 +8,10 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
 from tidemill.config import CHUNK_HOURS
-from tidemill.plans.stored import table
+from tidemill.plans.stored import small_side, stored, table
 
 NTZ = "timestamp_ntz"
+BODY_ROWS = 10_000  # rows of a landed history, about
 
 
 def station_column(kind: str):
@@ -48,19 +49,32 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("station_id")).agg(F.avg("user_id").alias("position_km"))
 
 
+def landed_bodies(events: DataFrame, most: int = BODY_ROWS) -> DataFrame:
+    """``(station_id, body)``: events landed as JSON histories by station, hour and piece, of about ``most`` rows each."""
+    item = F.struct(F.date_format("ts", "dd.MM.yyyy'T'HH:mm:ss'+0000'").alias("sourceDate"), F.round("value", 3).alias("value"))
+    rows = events.select(F.col("event_type").alias("station_id"), F.date_trunc("HOUR", "ts").alias("hour"), item.alias("item"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    # the key has no nulls; where two groups share one, they only get more pieces
+    rows = rows.withColumn("key", F.xxhash64("station_id", "hour"))
+    sizes = stored(rows.groupBy("key").agg(F.ceil(F.count("*") / most).alias("pieces")), "pieces")
+    pieces = rows.join(small_side(sizes, 24), "key").withColumn("piece", F.pmod("salt", "pieces"))
+    payload = F.struct(F.collect_list("item").alias("history")).alias("payload")
+    return pieces.groupBy("station_id", "hour", "piece").agg(F.to_json(F.struct(F.struct(F.lit(200).alias("code")).alias("status"), payload)).alias("body")).select("station_id", "body")
+
+
 def history_rows(payloads: DataFrame) -> DataFrame:
-    """Rows of landed JSON histories ``(body)``: ``(source_ts, value)``; a null history has none.
+    """Rows of landed JSON histories ``(body)``: ``(source_ts, value)``, after the other columns; a null history has none.
 
     Times carry their offset (``dd.MM.yyyyTHH:mm:ss+zzzz``) and come out in UTC. A body that isn't an object, has
     another status code than 200 or a history that isn't a list raises.
     """
     body = F.from_json("body", "status struct<code:int>, payload struct<history:string>")
-    checked = payloads.select(body.alias("b"), "body")
+    rest = [c for c in payloads.columns if c != "body"]
+    checked = payloads.select(*rest, body.alias("b"), "body")
     history = F.col("b.payload.history")
     bad = F.col("b").isNull() | (F.coalesce(F.col("b.status.code"), F.lit(200)) != 200) | (history.isNotNull() & ~history.startswith("["))
-    checked = checked.select(F.when(bad, F.raise_error(F.concat(F.lit("unusable history: "), F.substring("body", 1, 80)))).otherwise(history).alias("h"))
-    rows = checked.select(F.explode(F.from_json("h", "array<struct<sourceDate:string,value:double>>")).alias("r"))
-    return rows.select(F.to_timestamp("r.sourceDate", "dd.MM.yyyy'T'HH:mm:ssxx").alias("source_ts"), F.col("r.value").alias("value"))
+    checked = checked.select(*rest, F.when(bad, F.raise_error(F.concat(F.lit("unusable history: "), F.substring("body", 1, 80)))).otherwise(history).alias("h"))
+    rows = checked.select(*rest, F.explode(F.from_json("h", "array<struct<sourceDate:string,value:double>>")).alias("r"))
+    return rows.select(*rest, F.to_timestamp("r.sourceDate", "dd.MM.yyyy'T'HH:mm:ssxx").alias("source_ts"), F.col("r.value").alias("value"))
 
 
 def flatten_catalog(stations: DataFrame) -> DataFrame:
