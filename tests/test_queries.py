@@ -33,3 +33,8 @@ def test_entry_runs_without_the_llm_folders(spark):
 def test_known_grid_sizes(spark, sf):
     assert {r["count"] for r in QUERIES["candidate_grid"](spark, sf).groupBy("station_id").count().collect()} == {52}
     assert {r["count"] for r in QUERIES["subset_candidate_grid"](spark, sf).groupBy("station_id").count().collect()} == {78}
+
+
+def test_all_horizons_are_scored(spark, sf):
+    rows = QUERIES["metrics_per_horizon_all_horizons"](spark, sf).select("horizon").distinct().collect()
+    assert {r["horizon"] for r in rows} == set(range(25))

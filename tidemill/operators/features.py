@@ -14,7 +14,8 @@ def own():
     """The order of a station's hours; no window crosses the split."""
     return Window.partitionBy("station_id", "split").orderBy("ts")
 NUDGE = 1e-9  # before rounding, so that exact halves fall alike whatever the order of summation
-SCORED = (1, 6, 12, 24)  # horizons that the registered queries score
+SCORED = (1, 6, 12, 24)  # horizons that the SQL of the older queries names; the queries *_all_horizons score EVERY
+EVERY = range(1, HORIZON + 1)
 
 
 def station_frames(spark: SparkSession, sf_dir: str, kind: str = "dense") -> DataFrame:
@@ -80,9 +81,9 @@ def forward_targets(horizon: int = HORIZON) -> dict:
     return {f"target_t_plus_{h:0{digits}d}": F.when(eligible(horizon), F.lead("water_level", h).over(own())) for h in range(1, horizon + 1)}
 
 
-def featured(spark: SparkSession, sf_dir: str, kind: str = "dense") -> DataFrame:
+def featured(spark: SparkSession, sf_dir: str, kind: str = "dense", horizons=SCORED) -> DataFrame:
     frames = split(station_frames(spark, sf_dir, kind))
-    return frames.select("*", *(c.alias(n) for n, c in (feature_columns() | targets()).items()))
+    return frames.select("*", *(c.alias(n) for n, c in (feature_columns() | targets(horizons)).items()))
 
 
 def cohort(features: DataFrame) -> DataFrame:
@@ -104,10 +105,10 @@ def fold_bounds(n, folds: int = FOLDS, initial: float = INITIAL_FRACTION, embarg
     return F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), bound)
 
 
-def forecasts(cohort_: DataFrame) -> DataFrame:
+def forecasts(cohort_: DataFrame, horizons=SCORED) -> DataFrame:
     """``(issue_ts, split, horizon, actual, model, prediction)``: persistence and a fixed linear rule, in long form."""
     linear = 0.6 * F.col("water_level") + 0.3 * F.col("mean_24") + 0.1 * F.col("lag_24")
-    each = F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in SCORED))
+    each = F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in horizons))
     both = F.array(F.struct(F.lit("persistence").alias("model"), F.col("water_level").alias("prediction")), F.struct(F.lit("linear").alias("model"), linear.alias("prediction")))
     rows = cohort_.select(F.col("ts").alias("issue_ts"), "split", F.explode(each).alias("a"), both.alias("b")).select("issue_ts", "split", "a", F.explode("b").alias("b"))
     return rows.select("issue_ts", "split", "a.*", "b.*")

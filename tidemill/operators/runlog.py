@@ -14,14 +14,14 @@ NAMES = ("cv_mae_mean", "cv_mae_std", "cv_rmse_mean", "cv_rmse_std", "cv_me_mean
 KEY = ["model", "subset", "param"]
 
 
-def candidate_forecasts(features: DataFrame, cohort: DataFrame) -> DataFrame:
+def candidate_forecasts(features: DataFrame, cohort: DataFrame, horizons=ft.SCORED) -> DataFrame:
     """``(ts, split, pos, n, horizon, actual, model, subset, param, prediction)`` of all candidates in long form: the level
     ``param`` hours ago, or the mean of ``param`` hours, of the target alone or averaged over all stations."""
     columns = {("lag", k): F.col("water_level") if k == 0 else F.col(f"lag_{k}") for k in LAG_PARAMS} | {("mean", w): F.col(f"mean_{w}") for w in MEAN_PARAMS}
     pack = lambda wrap: F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).cast("long").alias("param"), wrap(c).alias("prediction")) for (m, p), c in columns.items()))
     own = features.filter(F.col("station_id") == ft.TARGET).select("ts", F.lit("target").alias("subset"), F.explode(pack(lambda c: c)).alias("c"))
     every = features.groupBy("ts").agg(pack(F.avg).alias("c")).select("ts", F.lit("all").alias("subset"), F.explode("c").alias("c"))
-    actual = cohort.select("ts", "split", "pos", "n", F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in ft.SCORED))).alias("a")).select("ts", "split", "pos", "n", "a.*")
+    actual = cohort.select("ts", "split", "pos", "n", F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in horizons))).alias("a")).select("ts", "split", "pos", "n", "a.*")
     return actual.join(own.union(every).select("ts", "subset", "c.*"), "ts")
 
 
@@ -32,10 +32,10 @@ def cross_validated(forecasts: DataFrame) -> DataFrame:
     return inside.groupBy(*KEY, "fold").agg(*ft.metrics())
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, horizons=ft.SCORED) -> DataFrame:
     """``cross_validated`` over the test tables."""
-    features = ft.featured(spark, sf_dir)
-    return cross_validated(candidate_forecasts(features, ft.target_cohort(features)))
+    features = ft.featured(spark, sf_dir, horizons=horizons)
+    return cross_validated(candidate_forecasts(features, ft.target_cohort(features), horizons))
 
 
 def summaries(scores: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from tidemill.sources import readings as src
 R, SP = q.readings(), q.readings("sparse")
 
 
-def preds(spark, sf):
-    return ft.forecasts(ft.target_cohort(ft.featured(spark, sf)))
+def preds(spark, sf, horizons=ft.SCORED):
+    return ft.forecasts(ft.target_cohort(ft.featured(spark, sf, horizons=horizons)), horizons)
 
 
 def filled(spark, sf, kind="sparse", least=2.0):
@@ -25,14 +25,14 @@ def filled(spark, sf, kind="sparse", least=2.0):
 
 
 @query("metrics_aggregate", f"WITH {q.ALL} SELECT model, split, count(DISTINCT issue_ts) AS issue_times, {q.METRICS} FROM pr GROUP BY 1, 2")
-def metrics_aggregate(spark, sf):
-    return preds(spark, sf).groupBy("model", "split").agg(F.count_distinct("issue_ts").alias("issue_times"), *ft.metrics())
+def metrics_aggregate(spark, sf, horizons=ft.SCORED):
+    return preds(spark, sf, horizons).groupBy("model", "split").agg(F.count_distinct("issue_ts").alias("issue_times"), *ft.metrics())
 
 
 @query("metrics_per_horizon", f"WITH {q.ALL} SELECT model, split, CAST(coalesce(horizon, 0) AS BIGINT) AS horizon, {q.METRICS} FROM pr GROUP BY GROUPING SETS ((model, split), (model, split, horizon))")
-def metrics_per_horizon(spark, sf):
+def metrics_per_horizon(spark, sf, horizons=ft.SCORED):
     """Metrics over all horizons (0) and each, in one pass."""
-    p = preds(spark, sf)
+    p = preds(spark, sf, horizons)
     both = p.groupingSets([[F.col("model"), F.col("split")], [F.col("model"), F.col("split"), F.col("horizon")]], F.col("model"), F.col("split"), F.col("horizon")).agg(*ft.metrics())
     return both.withColumn("horizon", F.coalesce("horizon", F.lit(0).cast("long")))
 
@@ -58,13 +58,13 @@ _REGIME = "CASE WHEN actual <= q25 THEN 'q1' WHEN actual <= q50 THEN 'q2' WHEN a
 k AS (SELECT model, unnest(['q1', 'q2', 'q3', 'q4', 'alarm']) AS regime, h AS horizon FROM (SELECT unnest(['persistence', 'linear']) AS model), (SELECT CAST(unnest([1, 6, 12, 24]) AS BIGINT) AS h)),
 m AS (SELECT model, regime, horizon, {q.METRICS} FROM x GROUP BY 1, 2, 3)
 SELECT k.model, k.regime, k.horizon, CAST(coalesce(n, 0) AS BIGINT) AS n, mae, rmse, me, r2 FROM k LEFT JOIN m USING (model, regime, horizon)""")
-def regime_metrics(spark, sf):
+def regime_metrics(spark, sf, horizons=ft.SCORED):
     """Metrics by level regime; the alarm regime overlaps the fourth quarter, and empty groups stay."""
-    p = preds(spark, sf).crossJoin(F.broadcast(quartiles(spark, sf)))
+    p = preds(spark, sf, horizons).crossJoin(F.broadcast(quartiles(spark, sf)))
     regime = F.when(F.col("actual") <= F.col("q25"), "q1").when(F.col("actual") <= F.col("q50"), "q2").when(F.col("actual") <= F.col("q75"), "q3").otherwise("q4")
     x = p.withColumn("regime", F.explode(F.array_compact(F.array(regime, F.when(F.col("actual") >= 90.0, "alarm")))))
     m = x.groupBy("model", "regime", "horizon").agg(*ft.metrics())
-    skeleton = spark.range(1).select(F.explode(F.array(F.lit("persistence"), F.lit("linear"))).alias("model")).select("model", F.explode(F.array(*map(F.lit, ("q1", "q2", "q3", "q4", "alarm")))).alias("regime")).select("model", "regime", F.explode(F.array(*(F.lit(h).cast("long") for h in ft.SCORED))).alias("horizon"))
+    skeleton = spark.range(1).select(F.explode(F.array(F.lit("persistence"), F.lit("linear"))).alias("model")).select("model", F.explode(F.array(*map(F.lit, ("q1", "q2", "q3", "q4", "alarm")))).alias("regime")).select("model", "regime", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons))).alias("horizon"))
     return skeleton.join(m, ["model", "regime", "horizon"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
@@ -76,16 +76,16 @@ def regime_label(spark, sf):
 
 
 @query("cv_summary", f"WITH {q.ALL}, w AS (SELECT model, horizon, date_trunc('day', issue_ts) AS d, avg(abs(prediction - actual)) AS mae FROM pr GROUP BY 1, 2, 3) SELECT model, horizon, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std FROM w GROUP BY 1, 2")
-def cv_summary(spark, sf):
+def cv_summary(spark, sf, horizons=ft.SCORED):
     """Mean and population deviation of a metric over groups of issue times."""
-    w = preds(spark, sf).groupBy("model", "horizon", F.to_date("issue_ts").alias("d")).agg(F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("mae"))
+    w = preds(spark, sf, horizons).groupBy("model", "horizon", F.to_date("issue_ts").alias("d")).agg(F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("mae"))
     return w.groupBy("model", "horizon").agg(F.round(F.avg("mae"), 6).alias("mae_mean"), F.round(F.stddev_pop("mae"), 6).alias("mae_std"))
 
 
 @query("error_box_stats", f"WITH {q.ALL} SELECT model, horizon, " + ", ".join(f"round(quantile_cont(prediction - actual, {p}), 6) AS p{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1)) + " FROM pr GROUP BY 1, 2")
-def error_box_stats(spark, sf):
+def error_box_stats(spark, sf, horizons=ft.SCORED):
     at = F.percentile(F.col("prediction") - F.col("actual"), F.array(*(F.lit(float(p)) for p in (0, 0.25, 0.5, 0.75, 1))))
-    return preds(spark, sf).groupBy("model", "horizon").agg(at.alias("p")).select("model", "horizon", *(F.round(F.col("p")[i], 6).alias(f"p{n}") for i, n in enumerate((0, 25, 50, 75, 100))))
+    return preds(spark, sf, horizons).groupBy("model", "horizon").agg(at.alias("p")).select("model", "horizon", *(F.round(F.col("p")[i], 6).alias(f"p{n}") for i, n in enumerate((0, 25, 50, 75, 100))))
 
 
 @query("first_step_delta", f"WITH {q.ALL}, d AS (SELECT pr.model, prediction - water_level AS predicted, actual - water_level AS observed FROM pr JOIN tc ON pr.issue_ts = tc.ts WHERE horizon = 1) SELECT model, count(*) AS n, round(avg(predicted), 6) AS predicted_mean, round(stddev_samp(predicted), 6) AS predicted_std, round(avg(observed), 6) AS observed_mean, round(stddev_samp(observed), 6) AS observed_std, round(quantile_cont(observed, 0.5), 6) AS observed_median FROM d GROUP BY 1")
@@ -97,13 +97,13 @@ def first_step_delta(spark, sf):
 
 
 @query("long_predictions", f"WITH {q.ALL} SELECT issue_ts, horizon, model, actual, round(prediction, 6) AS prediction FROM pr WHERE split = 'train'")
-def long_predictions(spark, sf):
-    return preds(spark, sf).filter("split = 'train'").select("issue_ts", "horizon", "model", "actual", F.round("prediction", 6).alias("prediction"))
+def long_predictions(spark, sf, horizons=ft.SCORED):
+    return preds(spark, sf, horizons).filter("split = 'train'").select("issue_ts", "horizon", "model", "actual", F.round("prediction", 6).alias("prediction"))
 
 
 @query("valid_time_series", f"WITH {q.ALL} SELECT issue_ts + to_hours(horizon) AS valid_ts, horizon, actual, round(prediction, 6) AS prediction FROM pr WHERE split = 'train' AND model = 'linear'")
-def valid_time_series(spark, sf):
-    return preds(spark, sf).filter("split = 'train' and model = 'linear'").select(F.expr("issue_ts + make_interval(0, 0, 0, 0, CAST(horizon AS INT))").alias("valid_ts"), "horizon", "actual", F.round("prediction", 6).alias("prediction"))
+def valid_time_series(spark, sf, horizons=ft.SCORED):
+    return preds(spark, sf, horizons).filter("split = 'train' and model = 'linear'").select(F.expr("issue_ts + make_interval(0, 0, 0, 0, CAST(horizon AS INT))").alias("valid_ts"), "horizon", "actual", F.round("prediction", 6).alias("prediction"))
 
 
 @query("persistence_forecast", f"WITH {q.ALL} SELECT ts, split, water_level AS step_1, water_level AS step_24 FROM tc")
@@ -113,19 +113,19 @@ def persistence_forecast(spark, sf):
 
 
 @query("prediction_validity", f"WITH {q.ALL} SELECT model, count(*) AS n, CAST(count(CASE WHEN prediction IS NULL OR isnan(prediction) OR isinf(prediction) THEN 1 END) AS BIGINT) AS n_bad FROM pr GROUP BY 1")
-def prediction_validity(spark, sf):
+def prediction_validity(spark, sf, horizons=ft.SCORED):
     v = F.col("prediction")
-    return preds(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_bad"))
+    return preds(spark, sf, horizons).groupBy("model").agg(F.count("*").alias("n"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_bad"))
 
 
 _PER_ISSUE = "iss AS (SELECT model, issue_ts, sqrt(avg(power(prediction - actual, 2))) AS rmse FROM pr WHERE split = 'train' GROUP BY 1, 2)"
 
 
 @query("best_worst_windows", f"WITH {q.ALL}, {_PER_ISSUE} SELECT model, issue_ts, round(rmse, 6) AS rmse, kind FROM (SELECT *, 'best' AS kind, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9), issue_ts) AS i FROM iss UNION ALL SELECT *, 'worst', row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9) DESC, issue_ts) FROM iss) WHERE i = 1")
-def best_worst_windows(spark, sf):
+def best_worst_windows(spark, sf, horizons=ft.SCORED):
     """The issue times with the least and the greatest error, the earliest of equals."""
     e = F.col("prediction") - F.col("actual")
-    iss = preds(spark, sf).filter("split = 'train'").groupBy("model", "issue_ts").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    iss = preds(spark, sf, horizons).filter("split = 'train'").groupBy("model", "issue_ts").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
     key = F.round("rmse", 9)
     at = F.struct("issue_ts", "rmse")
     first = iss.groupBy("model").agg(F.min_by(at, F.struct(key, "issue_ts")).alias("best"), F.min_by(at, F.struct(-key, "issue_ts")).alias("worst"))
@@ -133,8 +133,8 @@ def best_worst_windows(spark, sf):
 
 
 @query("prediction_preview", f"WITH {q.ALL} SELECT issue_ts, horizon, actual, round(prediction, 6) AS prediction FROM pr WHERE model = 'linear' ORDER BY issue_ts, horizon LIMIT 20")
-def prediction_preview(spark, sf):
-    return preds(spark, sf).filter("model = 'linear'").orderBy("issue_ts", "horizon").limit(20).select("issue_ts", "horizon", "actual", F.round("prediction", 6).alias("prediction"))
+def prediction_preview(spark, sf, horizons=ft.SCORED):
+    return preds(spark, sf, horizons).filter("model = 'linear'").orderBy("issue_ts", "horizon").limit(20).select("issue_ts", "horizon", "actual", F.round("prediction", 6).alias("prediction"))
 
 
 @query("complete_context", f"WITH {R}, {q.frame()}, c AS (SELECT station_id, ts, count(CASE WHEN water_level IS NOT NULL AND NOT imputed THEN 1 END) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS n FROM f) SELECT station_id, ts FROM c WHERE n = 25")
@@ -221,8 +221,8 @@ def column_health(spark, sf):
 
 
 @query("target_coverage", f"WITH {q.ALL} SELECT horizon, count(actual) AS n FROM (SELECT CAST(unnest([1, 6, 12, 24]) AS BIGINT) AS horizon, unnest([t1, t6, t12, t24]) AS actual FROM ft) GROUP BY 1")
-def target_coverage(spark, sf):
-    rows = ft.featured(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in ft.SCORED))).alias("x")).select("x.*")
+def target_coverage(spark, sf, horizons=ft.SCORED):
+    rows = ft.featured(spark, sf, horizons=horizons).select(F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in horizons))).alias("x")).select("x.*")
     return rows.groupBy("horizon").agg(F.count("actual").alias("n"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.plans import q_eda, q_models, q_runlog, q_series
+from tidemill.plans import q_eda, q_models, q_runlog, q_series, q_whole
 from tidemill.plans.catalogue import QUERIES, SQL
 
-MODULES = (q_series, q_eda, q_runlog, q_models)
+MODULES = (q_series, q_eda, q_runlog, q_models, q_whole)
 
 
 def queries() -> dict:
