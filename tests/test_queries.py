@@ -38,3 +38,11 @@ def test_known_grid_sizes(spark, sf):
 def test_all_horizons_are_scored(spark, sf):
     rows = QUERIES["metrics_per_horizon_all_horizons"](spark, sf).select("horizon").distinct().collect()
     assert {r["horizon"] for r in rows} == set(range(25))
+
+
+def test_sealed_rows_are_the_test_rows(spark):
+    large = "/root/testdata/sf0.1"  # sf0.01 has no complete test row
+    got = QUERIES["sealed_test_rows"](spark, large).toPandas()
+    assert len(got) == 48 and set(got["n"]) == {48}
+    for name in ("sealed_test_rows", "sealed_test_vs_cv"):
+        assert not oracle.differences(QUERIES[name](spark, large).toPandas(), oracle.connection(large).execute(SQL[name]).df())

@@ -56,6 +56,17 @@ def run_log(summary: DataFrame) -> DataFrame:
     )
 
 
+def sealed_log(forecasts: DataFrame) -> DataFrame:
+    """One sealed run for each candidate: its metrics over the test rows of ``forecasts``, in the columns of ``run_log``."""
+    scores = forecasts.filter("split = 'test'").groupBy(*KEY).agg(*ft.metrics())
+    return scores.select(
+        F.concat_ws("-", "model", "subset", "param", F.lit("sealed")).alias("run_id"), F.col("model").alias("experiment"), F.lit("FINISHED").alias("status"), F.lit(3000).cast("long").alias("end_time"),
+        F.create_map(F.lit("run_type"), F.lit("sealed"), F.lit("execution_uuid"), F.lit("e1")).alias("tags"),
+        F.create_map(F.lit("subset"), F.col("subset"), F.lit("param"), F.col("param").cast("string")).alias("params"),
+        F.create_map(*(x for m in MEASURES for x in (F.lit(f"test_{m}"), F.col(m)))).alias("metrics"),
+    )
+
+
 def select_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The best row of each key by an ordered policy; rows whose ranking value is null take no part."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

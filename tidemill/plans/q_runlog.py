@@ -297,9 +297,9 @@ def high_water(spark, sf, horizons=ft.SCORED):
 
 
 @query("sealed_test", f"WITH {q.ALL} SELECT model, horizon, {q.METRICS} FROM pr WHERE split = 'train' GROUP BY 1, 2")
-def sealed_test(spark, sf, horizons=ft.SCORED):
+def sealed_test(spark, sf, horizons=ft.SCORED, split="train"):
     """One scoring pass, refused if a forecast isn't finite."""
-    p = preds(spark, sf, horizons).filter("split = 'train'")
+    p = preds(spark, sf, horizons).filter(F.col("split") == split)
     finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
     checked = p.withColumn("prediction", F.when(finite, F.col("prediction")).otherwise(F.raise_error(F.lit("a forecast is not finite")).cast("double")))
     return checked.groupBy("model", "horizon").agg(*ft.metrics())
