@@ -38,13 +38,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources uses it."""
-    return mix(docs).select(docs.columns)
+    """Each document as often as the mix of sources uses it, in the order of training."""
+    return mix(docs).orderBy("copy", "block", "place").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document."""
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    """The token ids of each document, and the text that they decode to."""
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("personal data", redact), ("mixing", mixture), ("tokens", tokens)]

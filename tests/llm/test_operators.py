@@ -309,3 +309,13 @@ def test_pipeline_stages(spark, sf, documents, odd):
     assert len(rows) == mixed.count() and all(np.frombuffer(r["ids"], "<u4").tolist() == t.encode(text[r["doc_id"]], add_special_tokens=False).ids for r in rows)
     for stage in (f for _, f in corpus_pipeline.STAGES):
         assert stage(spark, odd, sf).count() >= 0 and stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pipeline_keeps_the_order_of_training_and_the_decoded_texts(spark, sf, documents):
+    docs = documents.drop("nothing").limit(300)
+    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("copy", "block", "place").collect()]
+    got = corpus_pipeline.mixture(spark, docs, sf)
+    assert [r["doc_id"] for r in got.collect()] == want
+    t = Tokenizer.from_file(BPE)
+    rows = corpus_pipeline.tokens(spark, got.limit(20), sf).collect()
+    assert rows and all(r["decoded"] == t.decode(np.frombuffer(r["ids"], "<u4").tolist(), skip_special_tokens=False) for r in rows)
