@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_temperature_mixing": mixing.OP4_SQL, "op5_line_frequency_quality": quality.OP5_SQL, "op5_line_frequency_fixed": quality.OP5_FIXED_SQL}
+    return {"op1_quotation_linking": quotes.OP1_SQL, "op1_quotation_roundtrip": quotes.ROUNDTRIP_SQL, "op4_temperature_mixing": mixing.OP4_SQL, "op5_line_frequency_quality": quality.OP5_SQL, "op5_line_frequency_fixed": quality.OP5_FIXED_SQL}
