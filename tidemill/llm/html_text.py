@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.sample import smallest_hashes
 
-SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 300, 40, 4, 0.3, 32, 20
+SAMPLE, TREES, DEPTH, RATE, BINS, LEAST, FEW = 300, 40, 4, 0.3, 32, 20, 50
 # Element names, and tokens of attributes that name what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select button object canvas".split())
@@ -31,8 +31,9 @@ GOOD = frozenset("article body content entry main post story text".split())
 BAD = frozenset("ad ads advert advertisement alert author banner breadcrumb breadcrumbs caption comment comments consent cookie copyright disqus footer form header login menu meta nav navbar navigation newsletter notice pager pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 # Elements whose start ends an open p, or an open element of the same kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# quotes count right after an equals sign only, and only where they are closed; nothing that was read is given back
+TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop|hidden|aria-hidden)(?![^\s=/])(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+", re.I)
 FEATURES = 27
 
 
@@ -47,14 +48,16 @@ class Page:
         self.read(source)
 
     def read(self, source: str) -> None:
-        stack, at, buffer, links = [0], 0, [], 0
-        owner = 0
+        """One pass over the source; what is open is known by tag and by block, so no step looks through all of it."""
+        stack, blocks, at, buffer, links = [0], [0], 0, [], 0  # blocks: places of open blocks on the stack
+        open_: dict[str, int] = {}
+        last_close, missing = source.rfind(">"), set()  # missing: raw elements that are closed nowhere further on
 
         def flush() -> None:
             if buffer:
                 text = re.sub(r"\s+", " ", "".join(buffer)).strip()
                 if text:
-                    self.blocks.append((owner, text))
+                    self.blocks.append((stack[blocks[-1]], text))
                 buffer.clear()
 
         def add(text: str) -> None:
@@ -65,10 +68,21 @@ class Page:
                 if n:
                     self.runs.append((stack[-1], n, n if links else 0))
 
+        def shut(place: int) -> None:
+            """Closes all that is open from a place of the stack on."""
+            nonlocal links
+            for e in stack[place:]:
+                open_[self.tag[e]] -= 1
+                links -= self.tag[e] == "a"
+            del stack[place:]
+            while blocks[-1] >= place:
+                blocks.pop()
+
         while at < len(source):
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if at <= last_close else None
             if not m:
-                add(source[at:])
+                comment = source.find("<!--", at)
+                add(source[at : comment if comment >= 0 else None])
                 break
             add(source[at : m.start()])
             at = m.end()
@@ -76,22 +90,24 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag in (self.tag[i] for i in stack):
+                if open_.get(tag):
                     if tag in BLOCKS:
                         flush()
-                    while True:
-                        top = stack.pop()
-                        links -= self.tag[top] == "a"
-                        if self.tag[top] == tag:
-                            break
-                    owner = next(i for i in reversed(stack) if self.tag[i] in BLOCKS or not i)
+                    place = len(stack) - 1
+                    while self.tag[stack[place]] != tag:
+                        place -= 1
+                    shut(place)
                 elif tag == "p":
                     flush()
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 if not m[3].endswith("/"):
-                    at = end.end() if end else len(source)
+                    end = None if tag in missing else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        missing.add(tag)
+                        at = len(source)
                 if tag in ("button", "select", "textarea"):
                     self.controls.append(stack[-1])
                 continue
@@ -105,14 +121,13 @@ class Page:
                 continue
             if tag in BLOCKS:
                 flush()
-                shut = CLOSES.get(tag, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tag[stack[k]]
-                    if name == "p" or name in shut:
-                        links -= sum(self.tag[i] == "a" for i in stack[k:])
-                        del stack[k:]
+                ends = CLOSES.get(tag, ())
+                for k in range(len(blocks) - 1, 0, -1):
+                    name = self.tag[stack[blocks[k]]]
+                    if name == "p" or name in ends:
+                        shut(blocks[k])
                         break
-                    if name in BLOCKS and name not in ("td", "th", "dd"):
+                    if name not in ("td", "th", "dd"):
                         break
             tokens = set()
             if m[3].strip():
@@ -122,9 +137,10 @@ class Page:
             self.tag.append(tag)
             self.tokens.append(frozenset(tokens))
             stack.append(len(self.tag) - 1)
+            open_[tag] = open_.get(tag, 0) + 1
             links += tag == "a"
             if tag in BLOCKS:
-                owner = stack[-1]
+                blocks.append(len(stack) - 1)
         flush()
 
     def features(self) -> np.ndarray:
@@ -173,12 +189,11 @@ class Page:
             tag(HEADINGS), tag({"p"}), tag({"li", "ul", "ol"}), tag({"article", "main"}), tag({"html", "body", "#root", "head"}), tag({"head"}),
         ], axis=1)
 
-    def decode(self, odds: np.ndarray) -> str:
-        """The text of the best set of kept elements; an element can be kept only if its parent is."""
+    def kept(self, odds: np.ndarray) -> np.ndarray:
+        """The best set of kept elements; an element can be kept only if its parent is."""
         n = len(self.tag)
-        value = np.clip(odds, -4, 4)
-        value[0] = 0
-        gain = value.copy()
+        gain = odds.astype(float)
+        gain[0] = 0
         for e in range(n - 1, 0, -1):
             if gain[e] > 0:
                 gain[self.parent[e]] += gain[e]
@@ -186,6 +201,11 @@ class Page:
         keep[0] = True
         for e in range(1, n):
             keep[e] = keep[self.parent[e]] and gain[e] > 0
+        return keep
+
+    def decode(self, odds: np.ndarray) -> str:
+        """The text of the kept elements."""
+        keep = self.kept(np.clip(odds, -4, 4))
         return "\n".join(t for e, t in self.blocks if keep[e])
 
     def truth(self) -> np.ndarray:
@@ -296,40 +316,60 @@ def relaid(main: list[str], rest: list[str], pick: random.Random) -> tuple[str,
     return f"<html><head><title>{esc(main[0])}</title></head><body>{top}{''.join(parts)}{bottom}</body></html>", container
 
 
-def train(pages: DataFrame) -> Boosted | None:
-    """Trees from the SAMPLE pages of smallest hash whose tags tell the main text; only these come to the driver."""
-    drawn = pages.filter(F.length("html").between(1, 200_000) & F.lower("html").rlike("<(article|main)[ >]"))
-    xs, ys = [], []
-    for number, source in enumerate(smallest_hashes(drawn, ["page_id", "html"], SAMPLE, "html")):
+def paragraphs(page: Page) -> np.ndarray:
+    """Whether each block looks like running text: where no tags tell, such blocks of a page serve as its main text."""
+    return np.array([len(t) >= 40 and t[-1] in ".!?…\"”»" or page.tag[e] in ("p", "h1") and not any(page.tokens[e] & BAD) for e, t in page.blocks], bool)
+
+
+def examples(sources: list[str], tagged: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and answers of pages, and of their texts in three other layouts each."""
+    for number, source in enumerate(sources):
         page = Page(source)
-        holds = page.truth()
-        xs.append(page.features())
-        ys.append(holds)
-        leaf = [(t, holds[e]) for e, t in page.blocks]
+        if tagged:
+            holds = page.truth()
+            yield page.features(), holds
+            leaf = [(t, bool(holds[e])) for e, t in page.blocks]
+        else:
+            leaf = [(t, h) for (_, t), h in zip(page.blocks, paragraphs(page).tolist())]
         main = [t for t, h in leaf if h]
-        if not main:
-            continue
-        for k in range(3):
+        for k in range(3) if main else ():
             pick = random.Random(number * 3 + k)
-            source, container = relaid(main[: pick.randint(2, 12)], [t for t, h in leaf if not h], pick)
+            source, _ = relaid(main[: pick.randint(2, 12)], [t for t, h in leaf if not h], pick)
             again = Page(source)
-            # the container's subtree is the main one; what was put into it as an extra bears a bad token or a landmark tag
-            at = max((e for e in range(len(again.tag)) if again.tag[e] == "h1"), default=0)
-            inside, out = np.zeros(len(again.tag), bool), np.zeros(len(again.tag), bool)
-            for e in range(1, len(again.tag)):
-                p = again.parent[e]
-                inside[e] = inside[p] or e == again.parent[at]
-                out[e] = out[p] or again.tag[e] in LANDMARKS or (inside[p] and bool(again.tokens[e] & BAD))
-            right = np.zeros(len(again.tag), bool)
-            for e, _ in again.blocks:
-                right[e] |= inside[e] and not out[e]
-            for e in range(len(right) - 1, 0, -1):
-                right[again.parent[e]] |= right[e]
-            xs.append(again.features())
-            ys.append(right)
-    if not xs:
-        return None
-    return Boosted().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+            yield again.features(), relaid_truth(again)
+
+
+def relaid_truth(again: Page) -> np.ndarray:
+    """Whether an element of a page by ``relaid`` holds main text: the container's subtree does; what was put into it as an extra
+    bears a bad token or a landmark tag."""
+    at = max((e for e in range(len(again.tag)) if again.tag[e] == "h1"), default=0)
+    inside, out, right = (np.zeros(len(again.tag), bool) for _ in range(3))
+    for e in range(1, len(again.tag)):
+        p = again.parent[e]
+        inside[e] = inside[p] or e == again.parent[at]
+        out[e] = out[p] or again.tag[e] in LANDMARKS or (inside[p] and bool(again.tokens[e] & BAD))
+    for e, _ in again.blocks:
+        right[e] |= inside[e] and not out[e]
+    for e in range(len(right) - 1, 0, -1):
+        right[again.parent[e]] |= right[e]
+    return right
+
+
+PLAIN = "<h1>A title</h1><p>The first sentence of a text.</p><p>A second one follows, and it is somewhat longer than the first.</p><li>Home</li><li>About us</li><li>More</li>"
+
+
+def train(pages: DataFrame) -> Boosted:
+    """Trees from the SAMPLE pages of smallest hash whose tags tell the main text; only these come to the driver. Where under
+    FEW pages have such tags, others join them by their running text in other layouts; where nothing has text, a plain
+    page does."""
+    whole = pages.filter(F.length("html").between(1, 200_000))
+    tagged = F.lower("html").rlike("<(article|main)[ >]")
+    found = list(examples(smallest_hashes(whole.filter(tagged), ["page_id", "html"], SAMPLE, "html"), True))
+    if len(found) < 4 * FEW:
+        found += examples(smallest_hashes(whole.filter(~tagged), ["page_id", "html"], SAMPLE, "html"), False)
+    if len(found) < 4 * FEW:
+        found += examples([PLAIN] * FEW, False)
+    return Boosted().fit(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]).astype(float))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -337,8 +377,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     ``text`` is the main text of the whole html: kept blocks in page order, joined by a newline, character references
     decoded, white space in a block turned into single spaces. Null and empty html gives an empty text, as does a page
-    without main text. The trees are trained on a bounded sample of the table (see ``train``); where no page can teach
-    them, every text is empty. Repeated rows get equal results; other columns are ignored.
+    without main text. The trees are trained on a bounded sample of the table (see ``train``). Very long pages, with
+    any number of unclosed elements, take time linear in their length. Repeated rows get equal results; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
     trees = train(pages)
 
@@ -347,12 +388,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 read = [Page(s or "") for s in part.column(2).to_pylist()]
-                if trees is None:
-                    texts = [""] * len(read)
-                else:
-                    sizes = np.cumsum([0] + [len(p.tag) for p in read])
-                    odds = trees.odds(np.concatenate([p.features() for p in read]))
-                    texts = [p.decode(odds[a:b]) for p, a, b in zip(read, sizes[:-1], sizes[1:])]
+                sizes = np.cumsum([0] + [len(p.tag) for p in read])
+                odds = trees.odds(np.concatenate([p.features() for p in read]))
+                texts = [p.decode(odds[a:b]) for p, a, b in zip(read, sizes[:-1], sizes[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
