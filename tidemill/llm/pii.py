@@ -2,12 +2,13 @@
 
 The field scores whole candidate spans (up to MOST_UNITS neighbouring chunks), so features can see all of a span: its
 digit groups, checksum, separators, entropy, the words before it. Dynamic programming over bounded spans chooses
-boundaries and types together. It is trained here: the fixed patterns and a few secret formats label a bounded sample
+boundaries and types together, with weights for which types follow one another. It is trained here: the fixed patterns and a few secret formats label a bounded sample
 of the corpus, and altered copies (other separators, missing prefixes) teach it what the patterns miss.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,8 +29,12 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEEDS = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|api_key)=\S*[0-9]\S*|\btoken\s?=\s?\"[0-9A-Za-z]{16,}\"")
-HOT = re.compile(r"[^\s]*[0-9@][^\s]*")
-_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@")
+# the same matches in time linear in the text: a run of digits is entered at its start only, and never given back
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+# what makes a chunk worth a look: a digit, an at or equals sign, or a word that secrets come with, alone or before the next chunk
+HOT = re.compile(r"[0-9@=]|[Pp]assw|PASSW|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi.?[Kk]ey|API.?KEY")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 Span = tuple[int, int, str]
 
 
@@ -41,22 +46,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Is the number at most 255, however many zeros lead it?"""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """What the fixed patterns find: leftmost and non-overlapping for each kind, checks applied afterwards."""
     found: list[Span] = []
-    at = text.find("@")
+    at, end = text.find("@"), 0
     while at >= 0:
-        # a match lies within the run of name characters around its @, so only such runs are scanned
         lo = at
-        while lo and text[lo - 1] in _NAME:
+        while lo > end and text[lo - 1] in _LOCAL:
             lo -= 1
-        hi = at
-        while hi < len(text) and text[hi] in _NAME:
-            hi += 1
-        found += [(lo + m.start(), lo + m.end(), "email") for m in EMAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+        m = DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            found.append((lo, end := m.end(), "email"))
+        at = text.find("@", max(at + 1, end))
     if DIGITS.search(text):
-        found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(*m.span(), "ip") for m in IP_RUN.finditer(text) if all(map(octet, m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -66,21 +75,37 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def chunk_at(text: str, at: int, least: int = 0) -> tuple[int, int]:
+    """The maximal run without white space around a character, as far as it lies behind ``least``."""
+    lo = hi = at
+    while lo > least and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and not text[hi].isspace():
+        hi += 1
+    return lo, hi
+
+
 def zones(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring chunks around those with a digit or @; a chunk is a maximal run without white space."""
-    if not (DIGITS.search(text) or "@" in text):
-        return
+    """Runs of neighbouring chunks around the hot ones; a chunk is a maximal run without white space. A chunk without digit,
+    at or equals sign, that a word of secrets made hot, takes the next one along."""
     zone: list[tuple[int, int]] = []
-    for m in HOT.finditer(text):
-        if zone and m.start() - zone[-1][1] > 1:
+    end = 0
+    while m := HOT.search(text, end):
+        lo, end = chunk_at(text, m.start(), end)
+        if zone and lo - zone[-1][1] > 1:
             yield zone
             zone = []
-        if not zone:
-            before = text[max(0, m.start() - 40) : m.start()]
-            zone = [(m.start() - len(before) + w.start(), m.start() - len(before) + w.end()) for w in re.finditer(r"\S+", before)][-2:]
-            if zone and m.start() - zone[-1][1] > 1:
-                zone = []
-        zone.append(m.span())
+        if not zone and lo and text[lo - 1].isspace():
+            # up to two chunks before, as context
+            for _ in range(2):
+                first = zone[0][0] if zone else lo
+                if first < 2 or not text[first - 1].isspace() or text[first - 2].isspace():
+                    break
+                zone.insert(0, chunk_at(text, first - 2))
+        zone.append((lo, end))
+        if m[0] not in "0123456789@=" and end + 1 < len(text) and not text[end + 1].isspace():
+            zone.append(chunk_at(text, end + 1, end + 1))
+            end = zone[-1][1]
     if zone:
         yield zone
 
@@ -105,7 +130,7 @@ def features(text: str, lo: int, hi: int, before: str) -> list[str]:
         if n >= 13:
             out.append(f"luhn={luhn(digits)},{size}")
         if len(groups) == 4 and re.fullmatch(r"[0-9]+([.][0-9]+){3}", s):
-            out.append(f"quad={all(int(g) < 256 for g in groups)}")
+            out.append(f"quad={all(octet(g) for g in groups)}")
         if 8 <= n <= 15:
             out.append(f"call={'+' in s},{'(' in s},{'-' in s}")
     if "@" in s:
@@ -117,6 +142,8 @@ def features(text: str, lo: int, hi: int, before: str) -> list[str]:
         out += [f"mixed={min(4, len(s) // 8)},{share > 0.4}", "hex" if re.fullmatch(r"[0-9a-f\"]+", s) else "nohex", "caps" if s.isupper() else "nocaps"]
     if len(shape) <= 12:
         out.append("shape=" + shape)
+    if len(s) >= 12 and "=" not in s and " " not in s:
+        out.append("bare")
     if before:
         out.append("before=" + before.lower().strip(".,;:!?")[-10:])
     return out
@@ -130,13 +157,15 @@ class Field:
         self.follow = np.zeros((len(KINDS) + 1, len(KINDS) + 1))  # the last index is "none", which also stands at the start
 
     def lattice(self, text: str, zone: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
-        """Candidates (first unit, unit after, start, end, features): spans of neighbours that hold a digit or @."""
+        """Candidates (first unit, unit after, start, end, features): spans of neighbours of which the last is hot or follows a
+        hot one. Their length in characters has no bound."""
         out = []
+        hot = [bool(HOT.search(text, *chunk)) for chunk in zone]
         for i in range(len(zone)):
-            before = text[slice(*zone[i - 1])] if i else ""
+            before = text[max(zone[i - 1][0], zone[i - 1][1] - 40) : zone[i - 1][1]] if i else ""
             for j in range(i + 1, min(len(zone), i + MOST_UNITS) + 1):
                 lo, hi = trimmed(text, zone[i][0], zone[j - 1][1])
-                if hi > lo and HOT.search(text, zone[j - 1][0], hi) and hi - lo <= 200:
+                if hi > lo and (hot[j - 1] or j > 1 and hot[j - 2]):
                     out.append((i, j, lo, hi, features(text, lo, hi, before)))
         return out
 
@@ -176,27 +205,77 @@ class Field:
         return beta
 
     def posteriors(self, n: int, arcs: list) -> list[np.ndarray]:
+        return self.expected(n, arcs)[0]
+
+    def expected(self, n: int, arcs: list) -> tuple[list[np.ndarray], np.ndarray]:
+        """The probability of each candidate's kinds, and the expected number of times that each kind follows each."""
+        none = len(KINDS)
         scores = [self.score(a[4]) for a in arcs]
         alpha, beta = self.forward(n, arcs, scores), self.backward(n, arcs, scores)
         z = np.logaddexp.reduce(alpha[n])
-        return [np.exp(np.logaddexp.reduce(alpha[a[0]][:, None] + self.follow[:, :-1], axis=0) + s + beta[a[1], :-1] - z) for a, s in zip(arcs, scores)]
+        follows = np.zeros_like(self.follow)
+        follows[:, none] = np.exp(alpha[:-1] + self.follow[:, none] + beta[1:, none, None] - z).sum(axis=0)
+        sure = []
+        for arc, s in zip(arcs, scores):
+            pairs = np.exp(alpha[arc[0]][:, None] + self.follow[:, :none] + s + beta[arc[1], :none] - z)
+            follows[:, :none] += pairs
+            sure.append(pairs.sum(axis=0))
+        return sure, follows
 
     def train(self, examples: list[tuple[str, list[tuple[int, int]], dict[tuple[int, int], int]]]) -> None:
         """Stochastic gradient steps on the conditional likelihood of the labelled segmentations."""
-        ready = [(len(zone), self.lattice(text, zone), gold) for text, zone, gold in examples]
+        none = len(KINDS)
+        ready = []
+        for text, zone, gold in examples:
+            arcs = self.lattice(text, zone)
+            at, last, seen = 0, none, np.zeros_like(self.follow)
+            starts = {a[0]: (a[1], gold[a[2:4]]) for a in arcs if a[2:4] in gold}
+            while at < len(zone):
+                to, kind = starts.get(at, (at + 1, none))
+                seen[last, kind] += 1
+                at, last = to, kind
+            if arcs:
+                ready.append((len(zone), arcs, gold, seen))
         for epoch in range(EPOCHS):
-            for n, arcs, gold in ready:
-                if not arcs:
-                    continue
-                for arc, p in zip(arcs, self.posteriors(n, arcs)):
+            rate = RATE / (1 + epoch)
+            for n, arcs, gold, seen in ready:
+                sure, follows = self.expected(n, arcs)
+                self.follow += rate * (seen - follows)
+                for arc, p in zip(arcs, sure):
                     step = -p
                     if (kind := gold.get(arc[2:4])) is not None:
                         step[kind] += 1
                     if np.abs(step).max() > 1e-3:
-                        step *= RATE / (1 + epoch)
+                        step *= rate
                         for f in arc[4]:
                             self.weights[f] = self.weights.get(f, 0) + step
 
+    def best(self, n: int, arcs: list) -> list[tuple[int, int]]:
+        """The (candidate, kind) of the best segmentation, by dynamic programming."""
+        none = len(KINDS)
+        best = np.full((n + 1, none + 1), -np.inf)
+        best[0, none] = 0
+        back: dict[tuple[int, int], tuple[int, int, int]] = {}
+        scores = [self.score(a[4]) for a in arcs]
+        ends: dict[int, list[int]] = {}
+        for k, a in enumerate(arcs):
+            ends.setdefault(a[1], []).append(k)
+        for j in range(1, n + 1):
+            via = best[j - 1] + self.follow[:, none]
+            best[j, none], back[j, none] = via.max(), (j - 1, int(via.argmax()), -1)
+            for k in ends.get(j, ()):
+                step = best[arcs[k][0]][:, None] + self.follow[:, :none]
+                total = step.max(axis=0) + scores[k]
+                for kind in np.flatnonzero(total > best[j, :none]):
+                    best[j, kind], back[j, int(kind)] = total[kind], (arcs[k][0], int(step[:, kind].argmax()), k)
+        at, kind, chosen = n, int(best[n].argmax()), []
+        while at:
+            to, last, k = back[at, kind]
+            if k >= 0:
+                chosen.append((k, kind))
+            at, kind = to, last
+        return chosen
+
     def spans(self, text: str) -> list[Span]:
         """The best segmentation by dynamic programming; of its spans those with a posterior of THRESHOLD or more."""
         out = []
@@ -204,28 +283,8 @@ class Field:
             arcs = self.lattice(text, zone)
             if not arcs:
                 continue
-            none, n = len(KINDS), len(zone)
-            best = np.full((n + 1, none + 1), -np.inf)
-            best[0, none] = 0
-            back: dict[tuple[int, int], tuple[int, int, int]] = {}
-            scores = [self.score(a[4]) for a in arcs]
-            ends: dict[int, list[int]] = {}
-            for k, a in enumerate(arcs):
-                ends.setdefault(a[1], []).append(k)
-            for j in range(1, n + 1):
-                via = best[j - 1] + self.follow[:, none]
-                best[j, none], back[j, none] = via.max(), (j - 1, int(via.argmax()), -1)
-                for k in ends.get(j, ()):
-                    step = best[arcs[k][0]][:, None] + self.follow[:, :none]
-                    total = step.max(axis=0) + scores[k]
-                    for kind in np.flatnonzero(total > best[j, :none]):
-                        best[j, kind], back[j, int(kind)] = total[kind], (arcs[k][0], int(step[:, kind].argmax()), k)
-            at, kind, chosen = n, int(best[n].argmax()), []
-            while at:
-                to, last, k = back[at, kind]
-                if k >= 0:
-                    chosen.append((k, kind))
-                at, kind = to, last
+            n = len(zone)
+            chosen = self.best(n, arcs)
             if chosen:
                 sure = self.posteriors(n, arcs)
                 out += [(arcs[k][2], arcs[k][3], KINDS[kind]) for k, kind in chosen if sure[k][kind] >= THRESHOLD]
@@ -244,8 +303,8 @@ def altered(text: str, span: Span, pick: int) -> tuple[str, Span]:
 
 
 def train(docs: DataFrame) -> Field:
-    """A field from the SAMPLE documents of smallest hash that hold a digit or @; only these come to the driver."""
-    hot = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    """A field from the SAMPLE documents of smallest hash that hold a digit, an at or an equals sign; only these come to the driver."""
+    hot = docs.filter(F.col("text").rlike("[0-9@=]") & (F.length("text") <= 20_000))
     examples = []
     for number, text in enumerate(smallest_hashes(hot, ["doc_id", "text"], SAMPLE, "text")):
         labelled = base_spans(text) + [(*m.span(), "secret") for m in SEEDS.finditer(text)]
@@ -271,20 +330,28 @@ def written(spans: list[Span]) -> str:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The base spans, and those that the field adds beside them (none that overlaps a base span)."""
     base = base_spans(text)
-    extra = [s for s in field.spans(text) if all(s[1] <= a or s[0] >= b for a, b, _ in base)]
-    return base, extra
+    # the stretches that base spans cover, so that one search tells whether a span meets any
+    covered: list[list[int]] = []
+    for a, b, _ in sorted(base):
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    free = lambda s: (k := bisect.bisect_left(covered, [s[1]])) == 0 or covered[k - 1][1] <= s[0]
+    return base, [s for s in field.spans(text) if free(s)]
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_email, n_ip, n_card, n_phone`` (of the fixed patterns), ``base_sha256``, ``spans`` and ``redacted``.
+    """``docs`` with ``n_email, n_ip, n_card, n_phone`` (of the fixed patterns), ``base_sha256``, ``spans``, ``n_spans`` and ``redacted``.
 
     ``spans`` lists all spans as kind:start:end in code points, end exclusive, by kind, then start; ``redacted`` is the
-    text with each replaced by its kind in brackets. Null texts count as empty and stay null when redacted. The field is
+    text with each replaced by its kind in brackets; ``n_spans`` counts them all. Very long texts, tokens and runs of digits
+    take time linear in their length. Null texts count as empty and stay null when redacted. The field is
     trained on a bounded sample of the table (see ``train``); with no usable row it adds nothing. Repeated rows
     get equal results; other columns pass through; an empty table gives an empty result.
     """
     field = train(docs)
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"]
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "redacted"]
     held = [c for c in docs.columns if c not in names]
     rest = docs.select(*held)
     at = held.index("text")
@@ -303,8 +370,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
                         if b > end:
                             clean.append(f"[{k.upper()}]" if a >= end else "")
                         end = max(end, b)
-                    rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + extra), None if text is None else "".join(clean) + text[end:]))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 3
+                    rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + extra), len(base) + len(extra), None if text is None else "".join(clean) + text[end:]))
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], held + names)
 
     schema = StructType(list(rest.schema.fields))
@@ -316,4 +383,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def op6_semi_markov_pii(spark, sf_dir):
     """Personal data in every document."""
     out = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
