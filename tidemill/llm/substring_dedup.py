@@ -5,6 +5,9 @@ sends to a bucket (hash remainder, document, position), so a shuffle moves about
 chunk settles what it can before the shuffle: of the windows of one hash only those of its smallest document leave, the
 others are known to repeat. So the most common passage sends one entry per chunk, not one per document. The bucket finds the
 smallest document of each hash; windows of other documents come back to their chunk and merge into maximal intervals.
+
+A window is known by 88 bits of two rolling hashes, the leading ones of which name the bucket. Over 100 TB of text, some
+1.6e13 windows, fewer than one pair of different windows is to be expected to agree in all of them.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ from pyspark.sql import functions as F
 from tidemill.llm.words import byte_values, mixed, word_hashes
 from tidemill.plans.stored import BROADCAST_BYTES, stored
 
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2**64
 CHUNK_WINDOWS = 1_000_000
 BUCKET_WINDOWS = 1_000_000
+HASH_BYTES = 10  # that a window sends: seven of the first hash, whose eighth is in the bucket, and three of the second
 PACKED = "bucket long, label long, ids binary, counts binary, places binary, hashes binary"
 
 
 class Roller:
     """Rabin-Karp hashes of all windows of a word sequence at once: differences of prefix sums, modulo 2**64."""
 
-    def __init__(self, size: int):
-        self.size, self.up, self.down = size, np.ones(1, np.uint64), np.ones(1, np.uint64)
-        self.inverse = pow(BASE, -1, 1 << 64)
+    def __init__(self, size: int, base: int = BASE):
+        self.size, self.base, self.up, self.down = size, base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.inverse = pow(base, -1, 1 << 64)
 
     def windows(self, hashes: np.ndarray) -> np.ndarray:
         n = len(hashes)
@@ -42,17 +46,17 @@ class Roller:
         if len(self.up) < n:
             length = 1 << n.bit_length()
             powers = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(length - 1, x, np.uint64)], dtype=np.uint64)
-            self.up, self.down = powers(BASE), powers(self.inverse)
+            self.up, self.down = powers(self.base), powers(self.inverse)
         sums = np.r_[np.uint64(0), np.cumsum(hashes * self.down[:n], dtype=np.uint64)]
         return mixed((sums[self.size :] - sums[: -self.size]) * self.up[: n - self.size + 1])
 
 
-def _packed(bucket: int, label: int, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple:
+def _packed(bucket: int, label: int, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> tuple:
     """A row of windows, which come ordered by document."""
     first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
     counts = np.diff(np.r_[first, len(docs)])
     short = places.max(initial=0) < 1 << 16
-    body = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()  # the eighth byte is in the bucket
+    body = np.concatenate([hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], more.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]], axis=1).tobytes()
     return bucket, label, docs[first].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), (b"\x02" if short else b"\x04") + places.astype("<u2" if short else "<u4").tobytes(), body
 
 
@@ -64,31 +68,37 @@ def _docs(ids: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4"))
 
 
-def _chunk_rows(chunk: list[tuple[int, np.ndarray]], label: int, bits: int) -> Iterator[tuple]:
-    docs = np.concatenate([np.full(len(h), i, np.int64) for i, h in chunk])
-    places = np.concatenate([np.arange(len(h)) for _, h in chunk])
-    hashes = np.concatenate([h for _, h in chunk])
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    smallest = d[np.flatnonzero(first)][np.cumsum(first) - 1]
+def _repeats(docs: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document has too."""
+    order = np.lexsort((docs, more, hashes))
+    h, m, d = hashes[order], more[order], docs[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])]
     repeats = np.zeros(len(h), bool)
-    repeats[order] = d > smallest
+    repeats[order] = d > d[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return repeats
+
+
+def _chunk_rows(chunk: list[tuple[int, np.ndarray, np.ndarray]], label: int, bits: int) -> Iterator[tuple]:
+    docs = np.concatenate([np.full(len(h), i, np.int64) for i, h, _ in chunk])
+    places = np.concatenate([np.arange(len(h)) for _, h, _ in chunk])
+    hashes, more = (np.concatenate([x[k] for x in chunk]) for k in (1, 2))
+    repeats = _repeats(docs, hashes, more)
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     bucket[repeats] = (1 << bits) + label % (1 << bits)  # settled: passes through
     order = np.lexsort((places, docs, bucket))
-    bucket, docs, places, hashes = bucket[order], docs[order], places[order], hashes[order]
+    bucket, docs, places, hashes, more = bucket[order], docs[order], places[order], hashes[order], more[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         settled = bucket[lo] >= 1 << bits
-        yield _packed(int(bucket[lo]), label, docs[lo:hi], places[lo:hi], hashes[lo : lo if settled else hi])
+        sent = slice(lo, lo if settled else hi)
+        yield _packed(int(bucket[lo]), label, docs[lo:hi], places[lo:hi], hashes[sent], more[sent])
 
 
 def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """All windows of ``docs``, packed by chunk and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, roller, chunk, total, part, number = word_hashes(), Roller(size), [], 0, TaskContext.get().partitionId(), 0
+        known, rollers, chunk, total, part, number = word_hashes(), (Roller(size), Roller(size, SECOND)), [], 0, TaskContext.get().partitionId(), 0
 
         def batch_of() -> pa.RecordBatch:
             rows = list(_chunk_rows(chunk, (part << 24) + number, bits))
@@ -97,9 +107,10 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                found = roller.windows(known.of(text.split()))
+                words = known.of(text.split())
+                found = rollers[0].windows(words)
                 if len(found):
-                    chunk.append((doc, found))
+                    chunk.append((doc, found, (rollers[1].windows(words) >> np.uint64(40)).astype(np.uint32)))
                     total += len(found)
                 if total >= CHUNK_WINDOWS:
                     yield batch_of()
@@ -116,20 +127,16 @@ def _bucket(group: pd.DataFrame, bits: int) -> pd.DataFrame:
         return group[["label", "ids", "counts", "places"]]
     docs = [_docs(i, c) for i, c in zip(group["ids"], group["counts"])]
     sizes = [len(d) for d in docs]
-    body = np.zeros((sum(sizes), 8), np.uint8)
-    body[:, :7] = np.frombuffer(b"".join(group["hashes"]), np.uint8).reshape(-1, 7)
-    h, d = body.view("<u8").ravel(), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    hs, ds = h[order], d[order]
-    first = np.r_[True, hs[1:] != hs[:-1]]
-    repeats = np.zeros(len(h), bool)
-    repeats[order] = ds > ds[np.flatnonzero(first)][np.cumsum(first) - 1]
+    sent = np.frombuffer(b"".join(group["hashes"]), np.uint8).reshape(-1, HASH_BYTES)
+    first, second = np.zeros((len(sent), 8), np.uint8), np.zeros((len(sent), 4), np.uint8)
+    first[:, :7], second[:, :3] = sent[:, :7], sent[:, 7:]
+    repeats = _repeats(np.concatenate(docs), first.view("<u8").ravel(), second.view("<u4").ravel())
     out, at = [], 0
     for label, places, own in zip(group["label"], group["places"], docs):
         hit = repeats[at : at + len(own)]
         at += len(own)
         if hit.any():
-            out.append(_packed(0, label, own[hit], _places(places)[hit], np.zeros(0, np.uint64))[1:5])
+            out.append(_packed(0, label, own[hit], _places(places)[hit], np.zeros(0, np.uint64), np.zeros(0, np.uint32))[1:5])
     return pd.DataFrame(out, columns=["label", "ids", "counts", "places"])
 
 
@@ -165,8 +172,8 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     Removes each word that is covered by a window of ``size`` consecutive words whose sequence also starts in a document
     with a smaller id; windows are judged on the input. ``removed`` holds the maximal intervals (first word, end
     exclusive), ``kept`` the other words joined by one space. Null texts have no words; rows without an id lose nothing
-    and take nothing from others; rows that repeat an id count as one document's; shorter documents have no window. Other
-    columns are ignored; an empty table gives an empty result.
+    and take nothing from others; rows that repeat an id count as one document's; shorter documents have no window. Very
+    long texts take time linear in their length. Other columns are ignored; an empty table gives an empty result.
     """
     runs = stored(repeated_runs(docs, size), "runs")
     held = runs.agg(F.coalesce(F.sum(F.aggregate("runs", F.lit(0), lambda n, r: n + F.length(r)) + 40), F.lit(0))).first()[0]
