@@ -1,20 +1,22 @@
 """Approximate nearest neighbours: vantage-point trees per shard.
 
-Vectors fall into shards of bounded size, queries into blocks; each task builds the tree of one shard and sends a whole block
-of queries down it at once. On unit vectors the chord is a metric that orders like the cosine, so the triangle
+Vectors fall into shards of bounded size, and every shard gets all queries. Within a partition the rows of a shard come
+first, its queries after them: the tree is built once, and the queries stream down it, a block at a time. On unit vectors the chord is a metric that orders like the cosine, so the triangle
 inequality rules subtrees out: with ``factor`` 1 exactly, above 1 earlier, at the price of recall. Tasks return the
 best few of each query, ranked by the exact cosine of the vectors as given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD, QUERIES, LEAF = 8192, 1024, 256
+SHARD_BYTES, MOST, QUERIES, LEAF = 1 << 25, 16_384, 1024, 256  # of a shard: bytes of components, vectors; queries of a block; vectors of a leaf
 SLACK = 1e-6  # of a chord, for rounding
 
 
@@ -77,40 +79,74 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(whole & F.exists(v, lambda x: x != 0))
 
 
+def unscaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1, so that products neither overflow nor vanish;
+    the digits stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+class Shard:
+    """The vectors of one shard as they arrive, then its tree."""
+
+    def __init__(self, key: tuple[int, int]):
+        self.key, self.rows, self.ids, self.tree = key, [], [], None
+
+    def search(self, own: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, ids of the nearest and exact cosines."""
+        unit = lambda y: y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+        if self.tree is None and self.rows:
+            self.rows, self.ids = unscaled(np.concatenate(self.rows)), np.concatenate(self.ids)
+            self.tree = VPTree(unit(self.rows), self.ids)
+        if self.tree is None:
+            return own[:0], own[:0], np.zeros(0)
+        asked = unscaled(vectors)
+        found, _ = self.tree.search(unit(asked), own, k + 3, factor)
+        at, slot = np.nonzero(found >= 0)
+        a, b = asked[at], self.rows[found[at, slot]]
+        return own[at], self.ids[found[at, slot]], (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of each query among ``vectors(vec_id, embedding)``.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows of the same dimension but the query's
     own id; nearness is the cosine in double precision, ties go to the smaller id. Unusable vectors (see ``usable``)
-    take no part. Rows that repeat an id and vector count once. Other columns are ignored; an empty table, or a query
-    without candidates, gives no rows.
+    take no part; vectors of any finite magnitude do. Rows that repeat an id and vector count once. Very long vectors make
+    smaller shards. Other columns are ignored; an empty table, or a query without candidates, gives no rows.
     """
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
     rows = rows.withColumn("dim", F.size("embedding"))
-    n, q = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // QUERIES))
-    every_ = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    kept = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "asks": F.lit(False)}).withColumn("block", every_(blocks))
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "asks": F.lit(True)}).withColumn("shard", every_(shards))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if asks.all() or not asks.any():
-            return empty
-        have, want = group[~asks].sort_values("vec_id", kind="stable"), group[asks]
-        v, w = np.stack(have["embedding"].to_numpy()), np.stack(want["embedding"].to_numpy())
-        # scaled by the largest component first, so that squares neither overflow nor vanish
-        scale = lambda x: (y := x / np.abs(x).max(axis=1, keepdims=True)) / np.sqrt((y * y).sum(axis=1, keepdims=True))
-        ids, own = have["vec_id"].to_numpy(), want["vec_id"].to_numpy()
-        found, _ = VPTree(scale(v), ids).search(scale(w), own, k + 3, factor)
-        at, slot = np.nonzero(found >= 0)
-        row = found[at, slot]
-        a, b = w[at], v[row]
-        score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-        return pd.DataFrame({"query_id": own[at], "vec_id": ids[row], "score": score})
-
-    found = kept.unionByName(asked).groupBy("dim", "shard", "block").applyInPandas(run, "query_id long, vec_id long, score double").distinct()
+    n, widest = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = max(1, -(-n // max(LEAF, min(MOST, SHARD_BYTES // (8 * widest)))))
+    kept = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "asks": F.lit(False)})
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "asks": F.lit(True)})
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard((-1, -1))
+        for batch in batches:
+            dims, numbers, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asks", "vec_id"))
+            if not len(ids):
+                continue
+            values, lists = batch.column("embedding").values.to_numpy(zero_copy_only=False), batch.column("embedding").offsets.to_numpy()
+            change = (dims[1:] != dims[:-1]) | (numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])
+            cuts = np.flatnonzero(np.concatenate([[True], change, [True]]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key = int(dims[lo]), int(numbers[lo])
+                if shard.key != key:
+                    shard = Shard(key)
+                block = values[lists[lo] : lists[hi]].reshape(hi - lo, key[0])
+                if not asks[lo]:
+                    shard.rows.append(block)
+                    shard.ids.append(ids[lo:hi])
+                    continue
+                for at in range(0, hi - lo, QUERIES):
+                    found = shard.search(ids[lo + at : min(hi, lo + at + QUERIES)], block[at : at + QUERIES], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, out.types)], schema=out)
+
+    # the rows of a shard come before its queries, and by id, so that ties go to the smaller
+    dealt = kept.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks", "vec_id")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
