@@ -39,7 +39,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources uses it, in the order of training."""
-    return mix(docs).orderBy("copy", "block", "place").select(docs.columns)
+    return mix(docs).orderBy("copy", "turn", "place").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
