@@ -10,7 +10,8 @@ The work stays linear in a group's size wherever the links allow it:
 1. documents with equal shingle sets collapse to one representative (the smallest id);
 2. in each bucket every member is compared with the bucket's centre only (the member that shares most buckets);
 3. buckets whose members still lie in different components are compared in blocks of bounded size, all pairs across
-   components, so no link is lost; each block passes on a tie per document, never all its pairs.
+   components, so no link is lost; each block passes on a tie per document, never all its pairs. Sketches and texts are
+   packed into their block once, and only whole blocks are paired, so rows grow with a group's size over thousands.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from tidemill.plans.stored import small_side, stored
 
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 256
 FEW = 8  # members of a bucket whose pairs are tested in place
-BLOCK = 256  # documents of a block, compared with one another in one task
+BLOCK = 256  # documents that one task compares with a centre
+SKETCHES = 4096  # sketches of a block
+TEXTS, SHINGLES = 1024, 1 << 21  # texts of a block, and shingles that they have together
 COLUMNS = 1024  # shingles that a block compares at a time
+STRIPE = 256  # rows of a matrix of pairs that are worked on at a time
+HOT = 2000  # classes of copies with more than this part of all documents are joined by broadcast: there are fewer than so many
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -66,8 +71,8 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_differing_bits(similarity: float) -> int:
-    """XOR bits that pairs of this similarity show at most: five standard deviations, of the MinHash estimate and of
-    the sketch, beyond what they show on average."""
+    """XOR bits that pairs of this similarity show at most: what they show on average when the MinHash estimate is five standard
+    deviations low, and two deviations of the sketch (of a fair bit each, which is more than it has) on top."""
     part = 1 - similarity
     flips = 2 * SAMPLES * part
     wide = flips + 5 * 2 * np.sqrt(SAMPLES * part * (1 - part))
@@ -112,13 +117,15 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def connected(links: np.ndarray) -> np.ndarray:
-    """For the upper triangle of a link matrix: ``(k, 2)`` pairs that tie every linked row to its component's first."""
-    links = links | links.T
+    """For a symmetric link matrix: ``(k, 2)`` pairs that tie every linked row to its component's first."""
     rows = np.flatnonzero(links.any(axis=1))
     links = links[np.ix_(rows, rows)]
-    label = np.arange(len(rows))
+    label = np.arange(len(rows), dtype=np.int32)
     while len(rows):
-        least = np.minimum(np.where(links, label[None, :], len(rows)).min(axis=1), label)
+        least = label.copy()
+        for at in range(0, len(rows), STRIPE):
+            part = slice(at, at + STRIPE)
+            np.minimum(least[part], np.where(links[part], label[None, :], np.int32(len(rows))).min(axis=1), out=least[part])
         least = least[least]
         if (least == label).all():
             break
@@ -127,8 +134,21 @@ def connected(links: np.ndarray) -> np.ndarray:
     return np.stack([rows[tied], rows[label[tied]]], axis=1)
 
 
-def block_links(sets: list[np.ndarray], components: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that tie together a block's documents which links between different components connect, on full sets."""
+def sketch_links(bits: np.ndarray, component: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs that tie together rows of different components whose sketches differ in at most ``limit`` bits."""
+    links = np.zeros((len(bits), len(bits)), bool)
+    for at in range(0, len(bits), STRIPE):
+        part = slice(at, at + STRIPE)
+        apart = np.zeros((len(bits[part]), len(bits)), np.int16)
+        for word in bits.T:
+            apart += np.bitwise_count(word[part, None] ^ word[None, :])
+        links[part] = (apart <= limit) & (component[part, None] != component[None, :])
+    return connected(links)
+
+
+def block_links(sets: list[np.ndarray], components: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that tie together documents of different components that are linked, on full sets: all pairs of one side if there
+    is one, else those between the two."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
     every = np.concatenate(sets)
@@ -138,7 +158,8 @@ def block_links(sets: list[np.ndarray], components: np.ndarray, percent: int) ->
     column = np.cumsum(first) - 1
     shared = np.bincount(column)[column] > 1  # a shingle of one document adds nothing to an intersection
     column, owner = column[shared], owner[shared]
-    common = np.zeros((n, n), np.float32)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(n),) * 2
+    common = np.zeros((len(left), len(right)), np.float32)
     if len(column):
         column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
         cuts = np.searchsorted(column, np.arange(0, column[-1] + COLUMNS + 1, COLUMNS))
@@ -146,12 +167,16 @@ def block_links(sets: list[np.ndarray], components: np.ndarray, percent: int) ->
             if hi > lo:
                 present = np.zeros((n, COLUMNS), np.float32)
                 present[owner[lo:hi], column[lo:hi] - column[lo] // COLUMNS * COLUMNS] = 1
-                common += present @ present.T
-    together = sizes[:, None] + sizes[None, :] - common
-    return connected(np.triu((100 * common >= percent * together) & (components[:, None] != components[None, :]), 1))
+                common += present[left] @ present[right].T
+    links = np.zeros((n, n), bool)
+    for at in range(0, len(left), STRIPE):
+        rows = left[at : at + STRIPE]
+        part = common[at : at + STRIPE]
+        links[np.ix_(rows, right)] = (100 * part >= percent * (sizes[rows][:, None] + sizes[right][None, :] - part)) & (components[rows][:, None] != components[right][None, :])
+    return connected(links | links.T)
 
 
-def _sets(texts: pd.Series, words: int) -> list[np.ndarray]:
+def _sets(texts, words: int) -> list[np.ndarray]:
     known = word_hashes()
     press = zstandard.ZstdDecompressor()
     return [shingles(known.of(press.decompress(t).lower().split()), words) for t in texts]
@@ -167,9 +192,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     document. Other columns are ignored; an empty table gives an empty result.
     """
     limit = most_differing_bits(percent / 100)
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     signed = stored(signatures(docs, words), "signatures")
     filled = signed.filter("key is not null and doc_id is not null")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # the columns of the representative come along as an aggregate: no second pass over the class
     reps = stored(filled.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "s0", "s1", "s2", "s3"), "doc_id").alias("r")).select("r.*").withColumnRenamed("doc_id", "rep"), "reps")
 
@@ -214,20 +240,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bits = lambda x, y: sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in sketch[1:]), F.bit_count(x["s0"].bitwiseXOR(y["s0"])))
     few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("x.rep")) & (y["component"] != F.col("x.component")) & (bits(F.col("x"), y) <= limit))).alias("y"))
     few = few.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    parts = parts.filter(F.col("members") > FEW).withColumn("parts", F.ceil(F.col("members") / BLOCK))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    # larger ones are packed into blocks; only blocks are paired, so their number is that of the bucket over SKETCHES
+    parts = parts.filter(F.col("members") > FEW).withColumn("parts", F.ceil(F.col("members") / SKETCHES))
+    packed = parts.groupBy("bucket", "parts", F.pmod(F.xxhash64("rep"), "parts").alias("part")).agg(F.collect_list(F.struct("rep", "component", *sketch)).alias("m"))
+    cells = packed.withColumn("other", F.explode(up_to("parts"))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "m")
 
     def by_sketch(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")  # so that a bucket's ties are to its smallest, and those of other bands repeat them
-        bits = group[sketch].to_numpy(np.int64).view(np.uint64)
-        component = group["component"].to_numpy()
-        apart = np.zeros((len(bits), len(bits)), np.int16)
-        for word in bits.T:
-            apart += np.bitwise_count(word[:, None] ^ word[None, :])
-        found = connected(np.triu((apart <= limit) & (component[:, None] != component[None, :]), 1))
-        ids = group["rep"].to_numpy()
-        return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+        rows = sorted((r["rep"], r["component"], *(r[c] for c in sketch)) for m in group["m"] for r in m)  # so that a bucket's ties are to its smallest, and those of other bands repeat them
+        rows = np.array(rows, np.int64)
+        found = sketch_links(rows[:, 2:].view(np.uint64), rows[:, 1], limit)
+        return pd.DataFrame({"a": rows[found[:, 0], 0], "b": rows[found[:, 1], 0]})
 
     likely = stored(cells.groupBy("bucket", "i", "j").applyInPandas(by_sketch, "a long, b long").union(few).distinct(), "likely")
     groups = connected_components(likely)
@@ -236,33 +258,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     #    percent in size can't be linked
     step = np.log(100 / percent)
     sized = groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(seen.select("rep", "n_shingles"), "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    sized = sized.select("rep", "grp", F.coalesce("component", "rep").alias("component"), F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("long").alias("sized"))
+    sized = sized.select("rep", "grp", F.coalesce("component", "rep").alias("component"), F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("long").alias("sized"), "n_shingles")
     sized = stored(sized, "sized")
-    counts = sized.groupBy("grp", "sized").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    counts = sized.groupBy("grp", "sized").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("parts"))
     near = [counts.select("grp", (F.col("sized") + d).alias("sized"), F.col("parts").alias(n)) for d, n in ((0, "own"), (-1, "above"), (1, "below"))]
-    spread = sized.join(near[0], ["grp", "sized"]).join(near[1], ["grp", "sized"], "left").join(near[2], ["grp", "sized"], "left")
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("rep"), "own"))
-    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    cell = lambda lo, hi, i, j: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"))
-    same = F.transform(up_to("own"), lambda x: cell(F.col("sized"), F.col("sized"), F.least(F.col("part"), x), F.greatest(F.col("part"), x)))
-    above = F.when(F.col("above").isNotNull(), F.transform(up_to("above"), lambda x: cell(F.col("sized"), F.col("sized") + 1, F.col("part"), x)))
-    below = F.when(F.col("below").isNotNull(), F.transform(up_to("below"), lambda x: cell(F.col("sized") - 1, F.col("sized"), x, F.col("part"))))
-    spread = spread.withColumn("cell", F.explode(F.concat(same, F.coalesce(above, F.array().cast("array<struct<lo:bigint,hi:bigint,i:bigint,j:bigint>>")), F.coalesce(below, F.array().cast("array<struct<lo:bigint,hi:bigint,i:bigint,j:bigint>>")))))
-    spread = spread.select("rep", "grp", "component", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    packed = sized.join(near[0], ["grp", "sized"]).join(texts, "rep").groupBy("grp", "sized", "own", F.pmod(F.xxhash64("rep"), "own").alias("part")).agg(F.collect_list(F.struct("rep", "component", "text")).alias("m"))
+    packed = packed.join(near[1], ["grp", "sized"], "left").join(near[2], ["grp", "sized"], "left")
+    cell = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
+    same = F.transform(up_to("own"), lambda x: cell(F.col("sized"), F.col("sized"), F.least(F.col("part"), x), F.greatest(F.col("part"), x), (F.col("part") > x).cast("int")))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint,i:bigint,j:bigint,side:int>>")
+    above = F.when(F.col("above").isNotNull(), F.transform(up_to("above"), lambda x: cell(F.col("sized"), F.col("sized") + 1, F.col("part"), x, F.lit(0))))
+    below = F.when(F.col("below").isNotNull(), F.transform(up_to("below"), lambda x: cell(F.col("sized") - 1, F.col("sized"), x, F.col("part"), F.lit(1))))
+    paired = packed.withColumn("cell", F.explode(F.concat(same, F.coalesce(above, none), F.coalesce(below, none)))).select("grp", "cell.*", "m")
 
     def by_set(group: pd.DataFrame) -> pd.DataFrame:
-        component = group["component"].to_numpy()
+        rows = [(r["rep"], r["component"], side, r["text"]) for side, m in zip(group["side"], group["m"]) for r in m]
+        ids, component, side = (np.array(x) for x in list(zip(*rows))[:3])
         if (component == component[0]).all():
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        ids = group["rep"].to_numpy()
-        found = block_links(_sets(group["text"], words), component, percent)
+        found = block_links(_sets([r[3] for r in rows], words), component, side, percent)
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    rest = spread.join(texts, "rep").groupBy("grp", "lo", "hi", "i", "j").applyInPandas(by_set, "a long, b long")
+    rest = paired.groupBy("grp", "lo", "hi", "i", "j").applyInPandas(by_set, "a long, b long")
     ends = connected_components(stars.union(rest))
 
-    named = classes.join(ends.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    # few classes have a large part of all documents: those are broadcast, so no task gets all copies of a text
+    named = stored(classes.join(ends.withColumnRenamed("id", "rep"), "rep", "left").select("key", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
+    large = named.filter(F.col("copies") * HOT > signed.count())
+    slim = signed.select("doc_id", "n_shingles", "key")
+    met = slim.filter("key is not null").join(F.broadcast(large.select("key", F.col("component_id").alias("met"))), "key", "left")
+    rest = met.filter("met is null").drop("met").join(named.select("key", "component_id"), "key", "left").select("doc_id", "n_shingles", "component_id")
+    out = rest.union(met.filter("met is not null").select("doc_id", "n_shingles", "met")).union(slim.filter("key is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
