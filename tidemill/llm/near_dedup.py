@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.words import byte_values, mixed, shingles, word_hashes
-from tidemill.plans.components import connected_components
+from tidemill.llm.components import connected_components
 from tidemill.plans.stored import small_side, stored
 
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 256
