@@ -146,7 +146,7 @@ def validate_execution(spark, sf, horizons=ft.SCORED):
 @query("match_selected_candidate", f"WITH {LOG}, b AS ({_BEST}) SELECT b.model, b.subset, b.param, count(DISTINCT run_id) AS n FROM b LEFT JOIN lo ON lo.experiment = b.model AND lo.subset = b.subset AND lo.param = b.param AND lo.execution = 'e1' GROUP BY 1, 2, 3")
 def match_selected_candidate(spark, sf, horizons=ft.SCORED):
     """Each selected candidate has exactly one run of its execution with equal parameters."""
-    scores = summary(spark, sf, horizons)
+    scores = stored(summary(spark, sf, horizons), "scores")  # read twice
     b = rl.select_first(scores, ["model", "subset"], ["rmse_mean", "mae_mean", "param"]).select("model", "subset", "param")
     runs = rl.run_log(scores).filter(F.col("tags")["execution_uuid"] == "e1").select(F.col("experiment").alias("model"), F.col("params")["subset"].alias("subset"), F.col("params")["param"].cast("long").alias("param"), "run_id")
     return b.join(runs, ["model", "subset", "param"], "left").groupBy("model", "subset", "param").agg(F.count_distinct("run_id").alias("n"))
@@ -197,7 +197,7 @@ def flatten_metrics(spark, sf, horizons=ft.SCORED):
 
 @query("comparison_metrics", f"WITH {LOG} SELECT experiment, subset, param, name, value FROM lo JOIN ne USING (experiment, execution)")
 def comparison_metrics(spark, sf, horizons=ft.SCORED):
-    runs = log(spark, sf, horizons)
+    runs = stored(log(spark, sf, horizons), "runs")  # read twice
     return rl.tidy(runs).join(rl.newest_complete(runs).select("experiment", "execution"), ["experiment", "execution"]).select("experiment", "subset", "param", "name", "value")
 
 
@@ -205,7 +205,7 @@ _SUBSETS = "sm AS (SELECT experiment, subset, param, value AS rmse FROM (SELECT
 
 
 def subset_best(spark, sf, horizons=ft.SCORED):
-    runs = log(spark, sf, horizons)
+    runs = stored(log(spark, sf, horizons), "runs")  # read twice
     t = rl.tidy(runs).join(rl.newest_complete(runs).select("experiment", "execution"), ["experiment", "execution"]).filter("name = 'cv_rmse_mean'")
     return rl.select_first(t, ["experiment", "subset"], ["value", "param"]).select("experiment", "subset", "param", F.col("value").alias("rmse"))
 
@@ -245,7 +245,7 @@ def metric_constraints(spark, sf, horizons=ft.SCORED):
 
 @query("comparison_slices", f"WITH {LOG} SELECT experiment, subset, param, value, CASE experiment WHEN 'lag' THEN 1 ELSE 2 END AS place FROM lo JOIN ne USING (experiment, execution) WHERE name = 'cv_mae_mean'")
 def comparison_slices(spark, sf, horizons=ft.SCORED):
-    runs = log(spark, sf, horizons)
+    runs = stored(log(spark, sf, horizons), "runs")  # read twice
     t = rl.tidy(runs).join(rl.newest_complete(runs).select("experiment", "execution"), ["experiment", "execution"]).filter("metric = 'mae' and stat = 'mean'")
     place = F.when(F.col("experiment") == "lag", 1).otherwise(2)
     return t.select("experiment", "subset", "param", "value", place.alias("place")).orderBy("place", "subset", "param")

@@ -12,9 +12,12 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one serves a local
+    session; on a cluster no machine's own folder will do, so that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemill.shared.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("tidemill.shared.dir", found)
     return found.rstrip("/")
