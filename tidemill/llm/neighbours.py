@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, out.types)], schema=out)
 
     # the rows of a shard come before its queries, and by id, so that ties go to the smaller
-    dealt = kept.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks", "vec_id")
+    dealt = kept.unionByName(asked).repartition(4 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks", "vec_id")
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
