@@ -121,7 +121,9 @@ def quality(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS,
     joined = _verdict(counted.join(_sized(places, 3 + F.size("_places")), ["_unit", "_digest"], "left"), min_words, kept_percent)
     lines = F.split("text", "\n", -1)
     held = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_places")
-    kept_text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda k: F.get(lines, k)), "\n"))
+    # bound to a variable, so that the text is cut once and not for every line
+    picked = F.transform(F.array(F.struct(lines.alias("lines"), held.alias("held"))), lambda z: F.transform(z["held"], lambda k: F.get(z["lines"], k)))[0]
+    kept_text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(picked, "\n"))
     joined = joined.withColumn("kept_text", kept_text)
     return joined.withColumn("kept", F.col("kept") & (F.col("_row") >= 0)).select("doc_id", "text", "source", *(["_rest.*"] if rest else []), *added)
 

@@ -88,6 +88,11 @@ def links(lines: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn", "_key").agg(F.max_by("source", F.struct(-F.col("level"), "n", "source")).alias("parent_turn"), F.sum("n").alias("n_linked"), F.flatten(F.collect_list("at")).alias("_places"))
 
 
+def bound(function, **values) -> F.Column:
+    """``function`` of a struct of values, each of which is computed once for a row, even where a lambda uses it."""
+    return F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), function)[0]
+
+
 def without_quotes(places) -> F.Column:
     """A message's text without the lines at ``places`` and the lines like "... wrote:" that lead to them. Blank lines around
     what goes go with it."""
@@ -95,11 +100,11 @@ def without_quotes(places) -> F.Column:
     leads = F.filter(every, lambda k: F.get("_lines", k)["body"].rlike(WROTE))
     others = F.array_except(every, leads)
     # the line after a lead and the leads behind it: so many of the others come before as the lead's place less its rank
-    led = F.transform(leads, lambda k, rank: F.struct(k.alias("k"), F.get(others, k - rank).alias("to")))
+    led = bound(lambda z: F.transform(z["leads"], lambda k, rank: F.struct(k.alias("k"), F.get(z["others"], k - rank).alias("to"))), leads=leads, others=others)
     heads = F.transform(F.filter(led, lambda x: F.array_contains(places, x["to"]) & (F.get("_lines", x["to"])["level"] > F.get("_lines", x["k"])["level"])), lambda x: x["k"])
     held = F.array_except(F.array_except(every, places), heads)
     source = F.split("text", "\r?\n", -1)
-    return F.trim(F.regexp_replace(F.array_join(F.transform(held, lambda k: F.get(source, k)), "\n"), "\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(F.array_join(bound(lambda z: F.transform(z["held"], lambda k: F.get(z["lines"], k)), held=held, lines=source), "\n"), "\n{3,}", "\n\n"))
 
 
 def threads(links_: DataFrame) -> DataFrame:
