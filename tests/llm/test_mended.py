@@ -1,0 +1,61 @@
+"""Cases that earlier versions got wrong, and the language operator against plain loops."""
+
+import zlib
+
+import regex
+import zstandard
+from pyspark.sql import functions as F
+
+from tidemill.llm import html_text, language
+
+
+def blocks(source):
+    return [t for _, t in html_text.Page(source).blocks]
+
+
+def test_unclosed_elements_take_no_text_along():
+    assert blocks("<article><p>Hello there.</p><button>Share<p>More text that belongs.</p></article>") == ["Hello there.", "More text that belongs."]
+    assert blocks("<p>One.</p><object data=x><p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert blocks("<p>One.</p><button>Share<p>Two.</p><button>Go</button><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert blocks("<p>One <svg><svg></svg>x</svg>and.</p><select><option>a<option>b</select><p>Two.</p>") == ["One and.", "Two."]
+    assert blocks("<p>One.</p><template><p>no</p></template><canvas/><p>Two.</p><noscript>") == ["One.", "Two."]
+    assert blocks("<p>One.</p><script>if (a < b) { '<p>no</p>' }") == ["One."]
+    many = "<p>x</p>" + "<object><button>" * 20_000 + "<p>y</p>"
+    assert blocks(many) == ["x", "y"]
+
+
+def test_languages_against_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(90_001, None, "en"), (90_002, "", "de"), (90_003, "123 !!", "fr"), (90_004, "a", "en"), (90_005, "é" * 70_000, None), (90_006, "tie", None), (90_006, "tie", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    learned = language.dictionaries(docs)
+    assert set(learned) == {r[0] for r in docs.select("lang").distinct().collect() if r[0]}
+    want = []
+    for r in docs.collect():
+        row = r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+        if not r["text"] or not regex.search(r"\p{L}", r["text"]):
+            want.append((*row, "und", 0.0, True))
+            continue
+        best = None
+        sizes = []
+        for lang, content in learned.items():
+            press = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size = len(press.compress(r["text"].encode()))
+            sizes.append(size)
+            if best is None or (size, lang) < best:
+                best = size, lang
+        sizes.sort()
+        score = 1 - sizes[0] / sizes[1]
+        want.append((*row, best[1], score, score < language.MARGIN))
+    got = [tuple(r) for r in language.languages(docs.withColumns({"score": F.lit("x"), "rejected": F.lit(1)})).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_the_sample_of_languages_stays_small(spark, monkeypatch):
+    """A hundred thousand copies of one row are one text of the sample."""
+    monkeypatch.setattr(language, "SAMPLE", 3)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    copies = spark.range(100_000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    others = spark.createDataFrame([(i, f"text number {i}", "en") for i in ids[1:]], "doc_id long, text string, lang string")
+    found = language.dictionaries(copies.union(others))["en"].decode().splitlines()
+    assert len(found) == 3 == len(set(found))

@@ -23,7 +23,9 @@ from tidemill.llm.sample import smallest_hashes
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST, FEW = 300, 40, 4, 0.3, 32, 20, 50
 # Element names, and tokens of attributes that name what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select button object canvas".split())
+RAW = frozenset("script style textarea title".split())  # their content is no markup; without an end tag it goes to the end of the page
+ASIDE = frozenset("noscript template iframe svg select button object canvas".split())  # their content is no text of the page
+NESTED = frozenset("template svg object".split())  # of those, the ones that may hold their like
 BLOCKS = frozenset("html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th section article main aside nav header footer form pre blockquote figure figcaption address fieldset hr details summary center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LANDMARKS = frozenset("nav aside header footer form".split())
@@ -34,6 +36,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 # quotes count right after an equals sign only, and only where they are closed; nothing that was read is given back
 TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop|hidden|aria-hidden)(?![^\s=/])(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+", re.I)
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?![a-zA-Z0-9:-])", re.I)
 FEATURES = 27
 
 
@@ -51,7 +54,7 @@ class Page:
         """One pass over the source; what is open is known by tag and by block, so no step looks through all of it."""
         stack, blocks, at, buffer, links = [0], [0], 0, [], 0  # blocks: places of open blocks on the stack
         open_: dict[str, int] = {}
-        last_close, missing = source.rfind(">"), set()  # missing: raw elements that are closed nowhere further on
+        last_close, missing = source.rfind(">"), set()  # missing: elements of which an open one is closed nowhere further on
 
         def flush() -> None:
             if buffer:
@@ -108,7 +111,13 @@ class Page:
                     else:
                         missing.add(tag)
                         at = len(source)
-                if tag in ("button", "select", "textarea"):
+                if tag == "textarea":
+                    self.controls.append(stack[-1])
+                continue
+            if tag in ASIDE:
+                if not m[3].endswith("/"):
+                    at = self.beyond(source, tag, at, missing)
+                if tag in ("button", "select"):
                     self.controls.append(stack[-1])
                 continue
             if tag in VOID:
@@ -143,6 +152,24 @@ class Page:
                 blocks.append(len(stack) - 1)
         flush()
 
+    @staticmethod
+    def beyond(source: str, tag: str, at: int, missing: set[str]) -> int:
+        """Where an element of ASIDE ends that began before ``at``. One that isn't closed, or not before the next of its kind where
+        they can't nest, ends at the next tag of a block, so that it takes none of the page's text along."""
+        marks, depth = re.compile(rf"<(/?){tag}(?![a-zA-Z0-9:-])[^>]*>", re.I), 1
+        for mark in marks.finditer(source, at):
+            if mark[1]:
+                depth -= 1
+            elif tag in NESTED and tag not in missing:
+                depth += not mark[0].endswith("/>")
+            else:
+                break
+            if not depth:
+                return mark.end()
+        missing.add(tag)
+        block = BLOCK_TAG.search(source, at)
+        return block.start() if block else len(source)
+
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent = np.array(self.parent)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.plans.stored import small_side, stored
+
 SAMPLE, TEXT_CHARS, DICTIONARY_BYTES = 200, 20_000, 110_000  # of each language: documents drawn, their longest text, bytes kept
 LEVEL = 3
 MARGIN = 0.02  # a prediction whose lead is narrower is marked as rejected
@@ -24,14 +26,16 @@ def held_out(doc_id) -> F.Column:
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """For each language raw dictionary content: a bounded sample of labelled texts that are not held out.
 
-    The SAMPLE documents with the smallest hashes are drawn per language, so the sample does not depend on row order;
-    each language's texts are taken whole up to DICTIONARY_BYTES. This bounded sample is all that comes to the driver.
+    The SAMPLE different documents with the smallest hashes are drawn per language, so the sample does not depend on row order, and
+    rows that repeat one count once, however often they do; each language's texts are taken whole up to DICTIONARY_BYTES. At
+    most SAMPLE texts of TEXT_CHARS characters per language come to the driver, and nothing else.
     """
     labelled = docs.filter(~held_out(F.col("doc_id"))).filter("lang is not null and text is not null").filter(F.length("text").between(1, TEXT_CHARS))
     key = F.xxhash64("doc_id", "text")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    drawn = labelled.select("lang", key.alias("key")).withColumn("n", first).filter(F.col("n") <= SAMPLE)
-    rows = labelled.withColumn("key", key).join(F.broadcast(drawn.select("lang", "key")), ["lang", "key"]).select("lang", "key", "text").collect()
+    keys = labelled.select("lang", key.alias("key")).distinct().withColumn("n", first).filter(F.col("n") <= SAMPLE)
+    drawn = small_side(stored(keys.select("lang", "key"), "drawn"), 64)
+    rows = labelled.withColumn("key", key).join(drawn, ["lang", "key"]).select("lang", "key", "text").dropDuplicates(["lang", "key"]).collect()
     out: dict[str, bytes] = {}
     for lang, _, text in sorted(rows):
         data = text.encode() + b"\n"
