@@ -36,7 +36,7 @@ def test_known_grid_sizes(spark, sf):
 
 
 def test_all_horizons_are_scored(spark, sf):
-    rows = QUERIES["metrics_per_horizon_all_horizons"](spark, sf).select("horizon").distinct().collect()
+    rows = QUERIES["metrics_per_horizon"](spark, sf).select("horizon").distinct().collect()
     assert {r["horizon"] for r in rows} == set(range(25))
 
 

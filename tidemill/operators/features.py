@@ -14,7 +14,6 @@ def own():
     """The order of a station's hours; no window crosses the split."""
     return Window.partitionBy("station_id", "split").orderBy("ts")
 NUDGE = 1e-9  # before rounding, so that exact halves fall alike whatever the order of summation
-SCORED = (1, 6, 12, 24)  # horizons that the SQL of the older queries names; the queries *_all_horizons score EVERY
 EVERY = range(1, HORIZON + 1)
 
 
@@ -71,7 +70,7 @@ def feature_names() -> list[str]:
     return [*(f"lag_{k}" for k in LAGS), *(f"change_{k}" for k in CHANGES), *levels, "temperature_min_24", "temperature_max_24", "target_valid"]
 
 
-def targets(horizons=SCORED) -> dict:
+def targets(horizons=EVERY) -> dict:
     return {f"t{h}": F.lead("water_level", h).over(own()) for h in horizons}
 
 
@@ -81,7 +80,7 @@ def forward_targets(horizon: int = HORIZON) -> dict:
     return {f"target_t_plus_{h:0{digits}d}": F.when(eligible(horizon), F.lead("water_level", h).over(own())) for h in range(1, horizon + 1)}
 
 
-def featured(spark: SparkSession, sf_dir: str, kind: str = "dense", horizons=SCORED) -> DataFrame:
+def featured(spark: SparkSession, sf_dir: str, kind: str = "dense", horizons=EVERY) -> DataFrame:
     frames = split(station_frames(spark, sf_dir, kind))
     return frames.select("*", *(c.alias(n) for n, c in (feature_columns() | targets(horizons)).items()))
 
@@ -105,7 +104,7 @@ def fold_bounds(n, folds: int = FOLDS, initial: float = INITIAL_FRACTION, embarg
     return F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), bound)
 
 
-def forecasts(cohort_: DataFrame, horizons=SCORED) -> DataFrame:
+def forecasts(cohort_: DataFrame, horizons=EVERY) -> DataFrame:
     """``(issue_ts, split, horizon, actual, model, prediction)``: persistence and a fixed linear rule, in long form."""
     linear = 0.6 * F.col("water_level") + 0.3 * F.col("mean_24") + 0.1 * F.col("lag_24")
     each = F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in horizons))

@@ -14,7 +14,7 @@ NAMES = ("cv_mae_mean", "cv_mae_std", "cv_rmse_mean", "cv_rmse_std", "cv_me_mean
 KEY = ["model", "subset", "param"]
 
 
-def candidate_forecasts(features: DataFrame, cohort: DataFrame, horizons=ft.SCORED) -> DataFrame:
+def candidate_forecasts(features: DataFrame, cohort: DataFrame, horizons=ft.EVERY) -> DataFrame:
     """``(ts, split, pos, n, horizon, actual, model, subset, param, prediction)`` of all candidates in long form: the level
     ``param`` hours ago, or the mean of ``param`` hours, of the target alone or averaged over all stations."""
     columns = {("lag", k): F.col("water_level") if k == 0 else F.col(f"lag_{k}") for k in LAG_PARAMS} | {("mean", w): F.col(f"mean_{w}") for w in MEAN_PARAMS}
@@ -32,7 +32,7 @@ def cross_validated(forecasts: DataFrame) -> DataFrame:
     return inside.groupBy(*KEY, "fold").agg(*ft.metrics())
 
 
-def candidates(spark: SparkSession, sf_dir: str, horizons=ft.SCORED) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, horizons=ft.EVERY) -> DataFrame:
     """``cross_validated`` over the test tables."""
     features = ft.featured(spark, sf_dir, horizons=horizons)
     return cross_validated(candidate_forecasts(features, ft.target_cohort(features), horizons))

@@ -16,7 +16,7 @@ from tidemill.sources import readings as src
 R, SP = q.readings(), q.readings("sparse")
 
 
-def preds(spark, sf, horizons=ft.SCORED):
+def preds(spark, sf, horizons=ft.EVERY):
     return ft.forecasts(ft.target_cohort(ft.featured(spark, sf, horizons=horizons)), horizons)
 
 
@@ -25,12 +25,12 @@ def filled(spark, sf, kind="sparse", least=2.0):
 
 
 @query("metrics_aggregate", f"WITH {q.ALL} SELECT model, split, count(DISTINCT issue_ts) AS issue_times, {q.METRICS} FROM pr GROUP BY 1, 2")
-def metrics_aggregate(spark, sf, horizons=ft.SCORED):
+def metrics_aggregate(spark, sf, horizons=ft.EVERY):
     return preds(spark, sf, horizons).groupBy("model", "split").agg(F.count_distinct("issue_ts").alias("issue_times"), *ft.metrics())
 
 
 @query("metrics_per_horizon", f"WITH {q.ALL} SELECT model, split, CAST(coalesce(horizon, 0) AS BIGINT) AS horizon, {q.METRICS} FROM pr GROUP BY GROUPING SETS ((model, split), (model, split, horizon))")
-def metrics_per_horizon(spark, sf, horizons=ft.SCORED):
+def metrics_per_horizon(spark, sf, horizons=ft.EVERY):
     """Metrics over all horizons (0) and each, in one pass."""
     p = preds(spark, sf, horizons)
     both = p.groupingSets([[F.col("model"), F.col("split")], [F.col("model"), F.col("split"), F.col("horizon")]], F.col("model"), F.col("split"), F.col("horizon")).agg(*ft.metrics())
@@ -55,10 +55,10 @@ _REGIME = "CASE WHEN actual <= q25 THEN 'q1' WHEN actual <= q50 THEN 'q2' WHEN a
 
 
 @query("regime_metrics", f"""WITH {q.ALL}, {_QUART}, x AS (SELECT pr.*, {_REGIME} AS regime FROM pr, qt UNION ALL SELECT pr.*, 'alarm' FROM pr WHERE actual >= 90.0::DOUBLE),
-k AS (SELECT model, unnest(['q1', 'q2', 'q3', 'q4', 'alarm']) AS regime, h AS horizon FROM (SELECT unnest(['persistence', 'linear']) AS model), (SELECT CAST(unnest([1, 6, 12, 24]) AS BIGINT) AS h)),
+k AS (SELECT model, unnest(['q1', 'q2', 'q3', 'q4', 'alarm']) AS regime, h AS horizon FROM (SELECT unnest(['persistence', 'linear']) AS model), (SELECT CAST(unnest({q.HOURS}) AS BIGINT) AS h)),
 m AS (SELECT model, regime, horizon, {q.METRICS} FROM x GROUP BY 1, 2, 3)
 SELECT k.model, k.regime, k.horizon, CAST(coalesce(n, 0) AS BIGINT) AS n, mae, rmse, me, r2 FROM k LEFT JOIN m USING (model, regime, horizon)""")
-def regime_metrics(spark, sf, horizons=ft.SCORED):
+def regime_metrics(spark, sf, horizons=ft.EVERY):
     """Metrics by level regime; the alarm regime overlaps the fourth quarter, and empty groups stay."""
     p = preds(spark, sf, horizons).crossJoin(F.broadcast(quartiles(spark, sf)))
     regime = F.when(F.col("actual") <= F.col("q25"), "q1").when(F.col("actual") <= F.col("q50"), "q2").when(F.col("actual") <= F.col("q75"), "q3").otherwise("q4")
@@ -76,14 +76,14 @@ def regime_label(spark, sf):
 
 
 @query("cv_summary", f"WITH {q.ALL}, w AS (SELECT model, horizon, date_trunc('day', issue_ts) AS d, avg(abs(prediction - actual)) AS mae FROM pr GROUP BY 1, 2, 3) SELECT model, horizon, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std FROM w GROUP BY 1, 2")
-def cv_summary(spark, sf, horizons=ft.SCORED):
+def cv_summary(spark, sf, horizons=ft.EVERY):
     """Mean and population deviation of a metric over groups of issue times."""
     w = preds(spark, sf, horizons).groupBy("model", "horizon", F.to_date("issue_ts").alias("d")).agg(F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("mae"))
     return w.groupBy("model", "horizon").agg(F.round(F.avg("mae"), 6).alias("mae_mean"), F.round(F.stddev_pop("mae"), 6).alias("mae_std"))
 
 
 @query("error_box_stats", f"WITH {q.ALL} SELECT model, horizon, " + ", ".join(f"round(quantile_cont(prediction - actual, {p}), 6) AS p{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1)) + " FROM pr GROUP BY 1, 2")
-def error_box_stats(spark, sf, horizons=ft.SCORED):
+def error_box_stats(spark, sf, horizons=ft.EVERY):
     at = F.percentile(F.col("prediction") - F.col("actual"), F.array(*(F.lit(float(p)) for p in (0, 0.25, 0.5, 0.75, 1))))
     return preds(spark, sf, horizons).groupBy("model", "horizon").agg(at.alias("p")).select("model", "horizon", *(F.round(F.col("p")[i], 6).alias(f"p{n}") for i, n in enumerate((0, 25, 50, 75, 100))))
 
@@ -97,12 +97,12 @@ def first_step_delta(spark, sf):
 
 
 @query("long_predictions", f"WITH {q.ALL} SELECT issue_ts, horizon, model, actual, round(prediction, 6) AS prediction FROM pr WHERE split = 'train'")
-def long_predictions(spark, sf, horizons=ft.SCORED):
+def long_predictions(spark, sf, horizons=ft.EVERY):
     return preds(spark, sf, horizons).filter("split = 'train'").select("issue_ts", "horizon", "model", "actual", F.round("prediction", 6).alias("prediction"))
 
 
 @query("valid_time_series", f"WITH {q.ALL} SELECT issue_ts + to_hours(horizon) AS valid_ts, horizon, actual, round(prediction, 6) AS prediction FROM pr WHERE split = 'train' AND model = 'linear'")
-def valid_time_series(spark, sf, horizons=ft.SCORED):
+def valid_time_series(spark, sf, horizons=ft.EVERY):
     return preds(spark, sf, horizons).filter("split = 'train' and model = 'linear'").select(F.expr("issue_ts + make_interval(0, 0, 0, 0, CAST(horizon AS INT))").alias("valid_ts"), "horizon", "actual", F.round("prediction", 6).alias("prediction"))
 
 
@@ -113,7 +113,7 @@ def persistence_forecast(spark, sf):
 
 
 @query("prediction_validity", f"WITH {q.ALL} SELECT model, count(*) AS n, CAST(count(CASE WHEN prediction IS NULL OR isnan(prediction) OR isinf(prediction) THEN 1 END) AS BIGINT) AS n_bad FROM pr GROUP BY 1")
-def prediction_validity(spark, sf, horizons=ft.SCORED):
+def prediction_validity(spark, sf, horizons=ft.EVERY):
     v = F.col("prediction")
     return preds(spark, sf, horizons).groupBy("model").agg(F.count("*").alias("n"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_bad"))
 
@@ -122,7 +122,7 @@ _PER_ISSUE = "iss AS (SELECT model, issue_ts, sqrt(avg(power(prediction - actual
 
 
 @query("best_worst_windows", f"WITH {q.ALL}, {_PER_ISSUE} SELECT model, issue_ts, round(rmse, 6) AS rmse, kind FROM (SELECT *, 'best' AS kind, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9), issue_ts) AS i FROM iss UNION ALL SELECT *, 'worst', row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9) DESC, issue_ts) FROM iss) WHERE i = 1")
-def best_worst_windows(spark, sf, horizons=ft.SCORED):
+def best_worst_windows(spark, sf, horizons=ft.EVERY):
     """The issue times with the least and the greatest error, the earliest of equals."""
     e = F.col("prediction") - F.col("actual")
     iss = preds(spark, sf, horizons).filter("split = 'train'").groupBy("model", "issue_ts").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
@@ -133,7 +133,7 @@ def best_worst_windows(spark, sf, horizons=ft.SCORED):
 
 
 @query("prediction_preview", f"WITH {q.ALL} SELECT issue_ts, horizon, actual, round(prediction, 6) AS prediction FROM pr WHERE model = 'linear' ORDER BY issue_ts, horizon LIMIT 20")
-def prediction_preview(spark, sf, horizons=ft.SCORED):
+def prediction_preview(spark, sf, horizons=ft.EVERY):
     return preds(spark, sf, horizons).filter("model = 'linear'").orderBy("issue_ts", "horizon").limit(20).select("issue_ts", "horizon", "actual", F.round("prediction", 6).alias("prediction"))
 
 
@@ -220,8 +220,8 @@ def column_health(spark, sf):
     return rows.groupBy("column").agg(F.count("v").alias("n"), F.round(100.0 * (F.count("*") - F.count("v")) / F.count("*"), 6).alias("missing_percent"), F.count_if(F.abs("v") == float("inf")).alias("n_infinite"), (F.min("v") == F.max("v")).alias("constant"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-@query("target_coverage", f"WITH {q.ALL} SELECT horizon, count(actual) AS n FROM (SELECT CAST(unnest([1, 6, 12, 24]) AS BIGINT) AS horizon, unnest([t1, t6, t12, t24]) AS actual FROM ft) GROUP BY 1")
-def target_coverage(spark, sf, horizons=ft.SCORED):
+@query("target_coverage", f"WITH {q.ALL} SELECT horizon, count(actual) AS n FROM (SELECT CAST(unnest({q.HOURS}) AS BIGINT) AS horizon, unnest({q.LEVELS}) AS actual FROM ft) GROUP BY 1")
+def target_coverage(spark, sf, horizons=ft.EVERY):
     rows = ft.featured(spark, sf, horizons=horizons).select(F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"t{h}").alias("actual")) for h in horizons))).alias("x")).select("x.*")
     return rows.groupBy("horizon").agg(F.count("actual").alias("n"))
 
@@ -335,8 +335,8 @@ _FUTURE = "fu AS (SELECT precipitation AS x, lead(water_level, h) OVER (PARTITIO
 @query("weather_future_change", f"WITH {q.BASE}, {_FUTURE} SELECT horizon, round(corr(x, y), 6) AS r, count(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1 END) AS n FROM fu GROUP BY 1")
 def weather_future_change(spark, sf):
     w = Window.partitionBy("station_id").orderBy("ts")
-    rows = ft.station_frames(spark, sf).select("precipitation", *((F.lead("water_level", h).over(w) - F.col("water_level")).alias(str(h)) for h in ft.SCORED))
-    u = rows.unpivot(["precipitation"], [str(h) for h in ft.SCORED], "horizon", "y").withColumn("horizon", F.col("horizon").cast("long"))
+    rows = ft.station_frames(spark, sf).select("precipitation", *((F.lead("water_level", h).over(w) - F.col("water_level")).alias(str(h)) for h in (1, 6, 12, 24)))
+    u = rows.unpivot(["precipitation"], [str(h) for h in (1, 6, 12, 24)], "horizon", "y").withColumn("horizon", F.col("horizon").cast("long"))
     return u.groupBy("horizon").agg(F.round(F.corr("precipitation", "y"), 6).alias("r"), F.count(F.when(F.col("precipitation").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
 
 

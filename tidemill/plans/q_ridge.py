@@ -9,10 +9,9 @@ from tidemill.operators import ridge_search as rs
 from tidemill.plans import sql as q
 from tidemill.plans.catalogue import query
 from tidemill.plans.q_full import _LONG
-from tidemill.plans.q_whole import whole
 from tidemill.plans.stored import stored
 
-_DESIGN = whole(f"""WITH {q.BASE}, {q.FEATURES}, {q.COHORT}, {_LONG.replace("FROM ft WHERE ts IN (SELECT ts FROM ft WHERE station_id = 'click')", "FROM ft WHERE split = 'train' AND ts IN (SELECT ts FROM co WHERE station_id = 'click')")},
+_DESIGN = (f"""WITH {q.BASE}, {q.FEATURES}, {q.COHORT}, {_LONG.replace("FROM ft WHERE ts IN (SELECT ts FROM ft WHERE station_id = 'click')", "FROM ft WHERE split = 'train' AND ts IN (SELECT ts FROM co WHERE station_id = 'click')")},
 ok AS (SELECT ts FROM lw GROUP BY 1 HAVING count(value) = 7 * (SELECT count(DISTINCT station_id) FROM ft)),
 dn AS (SELECT ts, t1, t24, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM co JOIN ok USING (ts) WHERE station_id = 'click')""")
 

@@ -1,40 +1,23 @@
-"""Registered queries over all horizons and over the sealed test rows, beside those whose SQL names four horizons and the training rows."""
+"""Registered queries over the sealed test rows."""
 
 from __future__ import annotations
 
-import inspect
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from tidemill.operators import features as ft
 from tidemill.operators import runlog as rl
-from tidemill.plans import q_eda, q_runlog  # noqa: F401  (they register the queries that follow here)
+from tidemill.plans import q_runlog
 from tidemill.plans import sql as q
-from tidemill.plans.catalogue import QUERIES, SQL, query
-
-
-def whole(sql: str) -> str:
-    """``sql`` with all horizons where it names the four."""
-    lead = lambda horizons: ", ".join(f"lead(water_level, {h}) OVER ({q._W}) AS t{h}" for h in horizons)
-    listed = lambda horizons, t="": "[" + ", ".join(f"{t}{h}" for h in horizons) + "]"
-    for part in (lead, listed, lambda horizons: listed(horizons, "t")):
-        sql = sql.replace(part(ft.SCORED), part(ft.EVERY))
-    return sql
-
-
-for _name, _function in list(QUERIES.items()):
-    if "horizons" in inspect.signature(_function).parameters and _name in SQL and _name not in ("sealed_test", "test_vs_cv"):
-        query(f"{_name}_all_horizons", whole(SQL[_name]))(partial(_function, horizons=ft.EVERY))
+from tidemill.plans.catalogue import query
 
 
-@query("sealed_test_rows", whole(f"WITH {q.ALL} SELECT model, horizon, {q.METRICS} FROM pr WHERE split = 'test' GROUP BY 1, 2"))
+@query("sealed_test_rows", (f"WITH {q.ALL} SELECT model, horizon, {q.METRICS} FROM pr WHERE split = 'test' GROUP BY 1, 2"))
 def sealed_test_rows(spark, sf):
     """The sealed test rows, scored once at all horizons. Empty where no test hour has complete predictors and targets."""
     return q_runlog.sealed_test(spark, sf, ft.EVERY, "test")
 
 
-@query("sealed_test_vs_cv", whole(f"""WITH {q_runlog.LOG}, b AS ({q_runlog._BEST}), te AS (SELECT model, subset, param, {q.METRICS} FROM cp WHERE split = 'test' GROUP BY 1, 2, 3)
+@query("sealed_test_vs_cv", (f"""WITH {q_runlog.LOG}, b AS ({q_runlog._BEST}), te AS (SELECT model, subset, param, {q.METRICS} FROM cp WHERE split = 'test' GROUP BY 1, 2, 3)
 SELECT model, subset, param, rmse_mean AS cv_rmse, rmse AS test_rmse, round(100 * (rmse - rmse_mean) / rmse_mean, 4) AS delta_percent FROM b LEFT JOIN te USING (model, subset, param)"""))
 def sealed_test_vs_cv(spark, sf):
     """The sealed run of each selected candidate beside its mean over the folds, both from the run log."""

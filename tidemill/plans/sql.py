@@ -31,6 +31,8 @@ s AS (SELECT f.station_id, f.ts, f.water_level, f.imputed, wx.precipitation, wx.
 BASE = f"{readings()}, {frame()}, {WEATHER}, {SPLIT}"
 
 _W = "PARTITION BY station_id, split ORDER BY ts"
+EVERY = range(1, 25)  # all horizons
+HOURS, LEVELS = str([*EVERY]), "[" + ", ".join(f"t{h}" for h in EVERY) + "]"
 
 
 def gated(agg: str, col: str, w: int) -> str:
@@ -50,13 +52,13 @@ FEATURES = f"""ft AS (SELECT *, {ELIGIBLE} AS target_valid,
   {", ".join(f"lag(water_level, {k}) OVER ({_W}) AS lag_{k}" for k in (1, 3, 6, 12, 24, 48, 72))},
   {", ".join(f"{gated('avg', 'water_level', w)} AS mean_{w}" for w in (6, 24, 72))},
   {", ".join(f"{gated('avg', 'temperature_2m', w)} AS temp_{w}" for w in (6, 24))},
-  {", ".join(f"lead(water_level, {h}) OVER ({_W}) AS t{h}" for h in (1, 6, 12, 24))} FROM s)"""
+  {", ".join(f"lead(water_level, {h}) OVER ({_W}) AS t{h}" for h in EVERY)} FROM s)"""
 # the cohort: a valid target and a complete set of level predictors; weather is too sparse in the test tables to ask for
 COHORT = """co AS (SELECT * FROM ft WHERE target_valid AND water_level IS NOT NULL AND lag_72 IS NOT NULL AND mean_72 IS NOT NULL),
 tc AS (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY ts) - 1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY split) AS n FROM co WHERE station_id = 'click')"""
 # forecasts of the target: persistence and a fixed linear rule, in long form
-FORECASTS = """pr AS (SELECT ts AS issue_ts, split, CAST(h AS BIGINT) AS horizon, actual, model, CASE model WHEN 'persistence' THEN water_level ELSE 0.6::DOUBLE * water_level + 0.3::DOUBLE * mean_24 + 0.1::DOUBLE * lag_24 END AS prediction
-  FROM (SELECT ts, split, water_level, mean_24, lag_24, unnest([1, 6, 12, 24]) AS h, unnest([t1, t6, t12, t24]) AS actual FROM tc), (SELECT unnest(['persistence', 'linear']) AS model))"""
+FORECASTS = f"""pr AS (SELECT ts AS issue_ts, split, CAST(h AS BIGINT) AS horizon, actual, model, CASE model WHEN 'persistence' THEN water_level ELSE 0.6::DOUBLE * water_level + 0.3::DOUBLE * mean_24 + 0.1::DOUBLE * lag_24 END AS prediction
+  FROM (SELECT ts, split, water_level, mean_24, lag_24, unnest({HOURS}) AS h, unnest({LEVELS}) AS actual FROM tc), (SELECT unnest(['persistence', 'linear']) AS model))"""
 # a nudge before rounding, so that exact halves fall alike whatever the order of summation
 METRICS = """CAST(count(*) AS BIGINT) AS n, round(avg(abs(prediction - actual)) + 1e-9, 6) AS mae, round(sqrt(avg(power(prediction - actual, 2))) + 1e-9, 6) AS rmse, round(avg(prediction - actual) + 1e-9, 6) AS me,
 round(CASE WHEN var_pop(actual) = 0 THEN CASE WHEN sum(power(prediction - actual, 2)) = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sum(power(prediction - actual, 2)) / (count(*) * var_pop(actual)) END + 1e-9, 6) AS r2"""
