@@ -28,8 +28,8 @@ def digest(a: Column, b: Column, n: Column) -> Column:
 
 def multiset_digest(rows: DataFrame, columns: list[str]) -> str:
     """The digest of all rows; equal multisets of rows have equal digests."""
-    found = rows.select(*columns).withColumns(row_hashes(columns)).agg(F.coalesce(F.sum("_hash_a"), F.lit(0)).alias("_hash_a"), F.coalesce(F.sum("_hash_b"), F.lit(0)).alias("_hash_b"), F.count("*").alias("n"))
-    return found.select(digest(F.col("_hash_a"), F.col("_hash_b"), F.col("n"))).first()[0]
+    found = rows.select(*columns).withColumns(row_hashes(columns)).agg(F.coalesce(F.sum("_hash_a"), F.lit(0)).alias("_hash_a"), F.coalesce(F.sum("_hash_b"), F.lit(0)).alias("_hash_b"), F.count("*").alias("_n"))
+    return found.select(digest(F.col("_hash_a"), F.col("_hash_b"), F.col("_n"))).first()[0]
 
 
 def fold_digests(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -39,13 +39,13 @@ def fold_digests(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     """
     cuts = ft.fold_bounds(F.col("n"))
     segment = F.size(F.filter(cuts, lambda b: b["train_end"] <= F.col("pos"))).cast("long")
-    parts = rows.withColumns(row_hashes(columns)).groupBy(*keys, segment.alias("fold")).agg(F.sum("_hash_a").alias("_hash_a"), F.sum("_hash_b").alias("_hash_b"), F.count("*").alias("n"))
+    parts = rows.withColumns(row_hashes(columns)).groupBy(*keys, segment.alias("fold")).agg(F.sum("_hash_a").alias("_hash_a"), F.sum("_hash_b").alias("_hash_b"), F.count("*").alias("_n"))
     # a fold trains on its own segment and all before it; segments without rows take part as zeros
     every = rows.select(*keys).distinct().withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ft.FOLDS - 1).cast("long"))))
     parts = every.join(parts, [*keys, "fold"], "left")
     so_far = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
-    return parts.select(*keys, "fold", total("n").alias("n_rows"), digest(total("_hash_a"), total("_hash_b"), total("n")).alias("train_digest"))
+    return parts.select(*keys, "fold", total("_n").alias("n_rows"), digest(total("_hash_a"), total("_hash_b"), total("_n")).alias("train_digest"))
 
 
 def agreement(digests: DataFrame, reference: str) -> DataFrame:
