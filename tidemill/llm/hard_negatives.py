@@ -281,9 +281,10 @@ def hard_negatives(vectors: DataFrame, every: int = 50) -> DataFrame:
     aimed = anchors.join(aims.withColumnRenamed("anchor_id", "vec_id"), "vec_id").withColumn("need", F.greatest(need, F.lit(0.0)) * (1 - 1e-9)).drop("least")
     blocks = stored(packed(aimed, ["dim", "label"], BLOCK_ROWS), "blocks")
     found = searched(paired(index, blocks, ["dim"], False).filter("label <> a_label"), True)
-    found = found.join(positives.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), ["anchor_id", "positive_id"])
+    # ranked first, within tasks and then across them, so that no more than the result meets the positives' scores
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "vec_id"))
     out = found.withColumn("rank", rank).filter(F.col("rank") <= NEGATIVES)
+    out = out.join(positives.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), ["anchor_id", "positive_id"])
     return out.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
