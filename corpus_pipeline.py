@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tidemill.llm.mixing import mix
 from tidemill.llm.near_dedup import near_duplicates
 from tidemill.llm.pii import personal_data
 from tidemill.llm.quality import quality
-from tidemill.plans.stored import small_side, stored, table
+from tidemill.plans.stored import shared_dir, small_side, stored, table, temporary
 
 ORACLE_SQL = None  # the stages in Python can't be written in SQL; tests hold them against brute force
 
@@ -51,8 +53,12 @@ STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("person
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a written table."""
+    """All stages over documents; each result is a written table, and the tables of a stage go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with temporary(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs
