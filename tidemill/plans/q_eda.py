@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions import stats
+from tidemill.functions.quantiles import quantiles_wide
 from tidemill.operators import features as ft
 from tidemill.operators import grid
 from tidemill.plans import sql as q
@@ -42,8 +43,7 @@ _QUART = "qt AS (SELECT quantile_cont(water_level, 0.25) AS q25, quantile_cont(w
 
 def quartiles(spark, sf):
     rows = ft.split(ft.station_frames(spark, sf)).filter("station_id = 'click' and split = 'train' and water_level is not null and not imputed")
-    at = F.percentile("water_level", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.agg(at.alias("p"), F.count("*").alias("n_reference")).select(F.col("p")[0].alias("q25"), F.col("p")[1].alias("q50"), F.col("p")[2].alias("q75"), "n_reference")
+    return quantiles_wide(rows, ["station_id"], "water_level", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select("q25", "q50", "q75", F.col("n").alias("n_reference"))
 
 
 @query("train_quartiles", f"WITH {q.BASE}, {_QUART} SELECT round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, n_reference FROM qt")
@@ -84,8 +84,9 @@ def cv_summary(spark, sf, horizons=ft.EVERY):
 
 @query("error_box_stats", f"WITH {q.ALL} SELECT model, horizon, " + ", ".join(f"round(quantile_cont(prediction - actual, {p}), 6) AS p{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1)) + " FROM pr GROUP BY 1, 2")
 def error_box_stats(spark, sf, horizons=ft.EVERY):
-    at = F.percentile(F.col("prediction") - F.col("actual"), F.array(*(F.lit(float(p)) for p in (0, 0.25, 0.5, 0.75, 1))))
-    return preds(spark, sf, horizons).groupBy("model", "horizon").agg(at.alias("p")).select("model", "horizon", *(F.round(F.col("p")[i], 6).alias(f"p{n}") for i, n in enumerate((0, 25, 50, 75, 100))))
+    rows = preds(spark, sf, horizons).select("model", "horizon", (F.col("prediction") - F.col("actual")).alias("error"))
+    names = {f"p{n}": n / 100 for n in (0, 25, 50, 75, 100)}
+    return quantiles_wide(rows, ["model", "horizon"], "error", names).select("model", "horizon", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query("first_step_delta", f"WITH {q.ALL}, d AS (SELECT pr.model, prediction - water_level AS predicted, actual - water_level AS observed FROM pr JOIN tc ON pr.issue_ts = tc.ts WHERE horizon = 1) SELECT model, count(*) AS n, round(avg(predicted), 6) AS predicted_mean, round(stddev_samp(predicted), 6) AS predicted_std, round(avg(observed), 6) AS observed_mean, round(stddev_samp(observed), 6) AS observed_std, round(quantile_cont(observed, 0.5), 6) AS observed_median FROM d GROUP BY 1")
@@ -283,7 +284,8 @@ def standardize(spark, sf):
 def alarm_share(spark, sf):
     f = filled(spark, sf, "dense", 0.0).filter("water_level is not null and not imputed")
     high = F.col("water_level") >= 90
-    return f.groupBy("station_id").agg(F.round(F.percentile("water_level", 0.5), 6).alias("median"), F.count_if(high).alias("n_alarm"), F.round(F.avg(high.cast("double")), 6).alias("share"))
+    shares = f.groupBy("station_id").agg(F.count_if(high).alias("n_alarm"), F.round(F.avg(high.cast("double")), 6).alias("share"))
+    return quantiles_wide(f, ["station_id"], "water_level", {"median": 0.5}).select("station_id", F.round("median", 6).alias("median")).join(shares, "station_id")
 
 
 _PAIRS = "pa AS (SELECT a.station_id AS a, b.station_id AS b, a.water_level AS x, b.water_level AS y FROM f a JOIN f b ON a.ts = b.ts AND a.station_id < b.station_id)"
@@ -427,21 +429,6 @@ def ljung_box_q(spark, sf):
     return a.agg(F.round(F.sum(F.col("n") * (F.col("n") + 2.0) * F.col("rho") * F.col("rho") / (F.col("n") - F.col("lag"))), 4).alias("q"))
 
 
-@query("pacf")
-def pacf(spark, sf):
-    """Partial autocorrelations by Durbin-Levinson over the 25 scalars of the autocorrelation query."""
-    import numpy as np
-
-    rho = [r["rho"] for r in stats.autocorrelations(series(spark, sf), 24).orderBy("lag").collect()]
-    phi, out = np.zeros(0), [1.0]
-    for k in range(1, len(rho)):
-        r = np.array(rho[1:k][::-1])
-        last = (rho[k] - phi @ r) / (1 - phi @ np.array(rho[1:k])) if k > 1 else rho[1]
-        phi = np.append(phi - last * phi[::-1], last)
-        out.append(float(last))
-    return spark.createDataFrame([(k, v) for k, v in enumerate(out)], "lag long, value double")
-
-
 @query("kpss_stat", f"WITH {R}, {q.frame()}, {_SERIES}, {_ACF}, cu AS (SELECT sum(x - m) OVER (ORDER BY i) AS s, n, v FROM se, mo), lr AS (SELECT max(v) * (1 + 2 * sum(CASE WHEN lag BETWEEN 1 AND 12 THEN (1 - lag / 13.0) * rho END)) AS omega FROM ac, mo) SELECT round(sum(s * s) / (max(n) * max(n)) / max(omega), 5) AS kpss FROM cu, lr")
 def kpss_stat(spark, sf):
     """Cumulative sums of the centred series against the long-run variance with Bartlett weights to lag 12."""
