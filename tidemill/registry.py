@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.plans import q_eda, q_full, q_models, q_orders, q_recursion, q_ridge, q_runlog, q_sealed, q_series, q_statistics, q_whole
+from tidemill.plans import q_eda, q_full, q_learned, q_models, q_orders, q_recursion, q_ridge, q_runlog, q_sealed, q_series, q_statistics, q_whole
 from tidemill.plans.catalogue import QUERIES, SQL
 
-MODULES = (q_series, q_eda, q_runlog, q_models, q_whole, q_full, q_ridge, q_recursion, q_orders, q_sealed, q_statistics)
+MODULES = (q_series, q_eda, q_runlog, q_models, q_whole, q_full, q_ridge, q_recursion, q_orders, q_sealed, q_statistics, q_learned)
 
 
 def queries() -> dict:
