@@ -1,6 +1,6 @@
 """Personal data by a semi-Markov conditional random field, on top of fixed patterns.
 
-The field scores whole candidate spans (up to MOST_UNITS neighbouring chunks), so features can see all of a span: its
+The field scores whole candidate spans (up to MOST_UNITS neighbouring units), so features can see all of a span: its
 digit groups, checksum, separators, entropy, the words before it. Dynamic programming over bounded spans chooses
 boundaries and types together, with weights for which types follow one another. It is trained here: the fixed patterns and a few secret formats label a bounded sample
 of the corpus, and altered copies (other separators, missing prefixes) teach it what the patterns miss.
@@ -22,7 +22,11 @@ from pyspark.sql.types import StructType
 from tidemill.llm.sample import smallest_hashes
 
 KINDS = ["email", "ip", "card", "phone", "secret"]  # the first four have fixed patterns
-SAMPLE, EPOCHS, RATE, MOST_UNITS, THRESHOLD = 600, 8, 0.2, 6, 0.7
+SAMPLE, SECRETS, EPOCHS, RATE, MOST_UNITS, THRESHOLD = 600, 200, 5, 0.2, 8, 0.5
+# the units that spans are made of: words with the marks that join them (so that an address or a number stays whole), and single
+# other marks, so that a span can begin and end beside any bracket, quote or comma
+UNIT = re.compile(r"\w+(?:[.%+@/\\-]+\w+)*|\S")
+WORD_BEFORE = 4  # units before a span among which its last word is looked for
 DIGITS = re.compile(r"[0-9]")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -34,6 +38,9 @@ IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # what makes a chunk worth a look: a digit, an at or equals sign, or a word that secrets come with, alone or before the next chunk
 HOT = re.compile(r"[0-9@=]|[Pp]assw|PASSW|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi.?[Kk]ey|API.?KEY")
+# What altered copies of the training texts put around a value.
+ALTERED = {"email": [0], "ip": [0], "card": [0], "phone": [0, 3, 7], "secret": [0, 5, 7, 11, 16, 21, 22, 26]}  # which altered copies a value gets; secrets are rare
+WRAPS = [("", ""), ("(", ")"), ('"', '"'), ("", ","), ('("', '")'), ("[", "]"), ("", ";"), ("<", ">")]
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 Span = tuple[int, int, str]
 
@@ -85,7 +92,7 @@ def chunk_at(text: str, at: int, least: int = 0) -> tuple[int, int]:
     return lo, hi
 
 
-def zones(text: str) -> Iterator[list[tuple[int, int]]]:
+def hot_chunks(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of neighbouring chunks around the hot ones; a chunk is a maximal run without white space. A chunk without digit,
     at or equals sign, that a word of secrets made hot, takes the next one along."""
     zone: list[tuple[int, int]] = []
@@ -110,13 +117,30 @@ def zones(text: str) -> Iterator[list[tuple[int, int]]]:
         yield zone
 
 
-def trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
-    while hi > lo and text[hi - 1] in ".,;:!?":
-        hi -= 1
-    return lo, hi
+def zones(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The units of each run of chunks, without those too far from a hot one to be in any candidate."""
+    for chunks in hot_chunks(text):
+        units = [m.span() for lo, hi in chunks for m in UNIT.finditer(text, lo, hi)]
+        near, zone = -1, []
+        last = [-1] * len(units)  # the place of the next hot unit from each one on
+        for k in range(len(units) - 1, -1, -1):
+            if HOT.search(text, *units[k]):
+                near = k
+            last[k] = near
+        behind = -MOST_UNITS
+        for k, unit in enumerate(units):
+            if last[k] == k:
+                behind = k
+            if k - behind <= 1 or 0 <= last[k] < k + MOST_UNITS:
+                zone.append(unit)
+            elif zone:
+                yield zone
+                zone = []
+        if zone:
+            yield zone
 
 
-def features(text: str, lo: int, hi: int, before: str) -> list[str]:
+def features(text: str, lo: int, hi: int, before: str, word: str = "") -> list[str]:
     """What the field sees of a candidate span."""
     s = text[lo:hi]
     digits = "".join(c for c in s if "0" <= c <= "9")
@@ -145,7 +169,11 @@ def features(text: str, lo: int, hi: int, before: str) -> list[str]:
     if len(s) >= 12 and "=" not in s and " " not in s:
         out.append("bare")
     if before:
-        out.append("before=" + before.lower().strip(".,;:!?")[-10:])
+        out.append("before=" + before.lower()[-10:])
+    if word:
+        out.append("word=" + word.lower()[-10:])
+    after = text[hi : hi + 1]
+    out.append("after=" + ("9" if after.isdigit() else "a" if after.isalpha() else " " if after.isspace() else after))
     return out
 
 
@@ -157,16 +185,18 @@ class Field:
         self.follow = np.zeros((len(KINDS) + 1, len(KINDS) + 1))  # the last index is "none", which also stands at the start
 
     def lattice(self, text: str, zone: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
-        """Candidates (first unit, unit after, start, end, features): spans of neighbours of which the last is hot or follows a
-        hot one. Their length in characters has no bound."""
+        """Candidates (first unit, unit after, start, end, features): spans of up to MOST_UNITS neighbours of which the last is hot or
+        follows a hot one; they begin and end at any unit. Their length in characters has no bound."""
         out = []
         hot = [bool(HOT.search(text, *chunk)) for chunk in zone]
         for i in range(len(zone)):
-            before = text[max(zone[i - 1][0], zone[i - 1][1] - 40) : zone[i - 1][1]] if i else ""
-            for j in range(i + 1, min(len(zone), i + MOST_UNITS) + 1):
-                lo, hi = trimmed(text, zone[i][0], zone[j - 1][1])
-                if hi > lo and (hot[j - 1] or j > 1 and hot[j - 2]):
-                    out.append((i, j, lo, hi, features(text, lo, hi, before)))
+            ends = [j for j in range(i + 1, min(len(zone), i + MOST_UNITS) + 1) if hot[j - 1] or j > 1 and hot[j - 2]]
+            if not ends:
+                continue
+            tail = lambda k: text[max(zone[k][0], zone[k][1] - 40) : zone[k][1]]
+            before = tail(i - 1) if i else ""
+            word = next((w for k in range(i - 1, max(-1, i - 1 - WORD_BEFORE), -1) if (w := tail(k))[-1].isalpha()), "")
+            out += [(i, j, zone[i][0], zone[j - 1][1], features(text, zone[i][0], zone[j - 1][1], before, word)) for j in ends]
         return out
 
     def score(self, names: list[str]) -> np.ndarray:
@@ -292,32 +322,53 @@ class Field:
 
 
 def altered(text: str, span: Span, pick: int) -> tuple[str, Span]:
-    """A copy of a text whose span is written in another way, so that the field learns more than the patterns."""
+    """A copy of a text whose span is written in another way, so that the field learns more than the patterns, and its borders."""
     lo, hi, kind = span
-    s = text[lo:hi]
+    s, (left, right) = text[lo:hi], WRAPS[pick % len(WRAPS)]
     if kind == "phone":
-        s = [re.sub(r"^\+[0-9]+\s?", "", s), s.replace("(", "").replace(")", ""), s.replace(" ", "-")][pick % 3]
+        bare = re.sub(r"^\+[0-9]+\s?", "", s)
+        s = [bare, s.replace("(", "").replace(")", ""), s.replace(" ", "-"), re.sub(r"[ ().]+", "-", bare).strip("-")][pick // 2 % 4]
     elif kind == "card":
         s = [" ".join(re.findall(r"[0-9]{1,4}", s)), "-".join(re.findall(r"[0-9]{1,4}", s)), s][pick % 3]
-    return text[:lo] + s + text[hi:], (lo, lo + len(s), kind)
+    elif kind == "secret":
+        value = re.split(r"[=\s\"]+", s.strip('"'))[-1]
+        letters = re.sub(r"[^A-Za-z]", "", value)
+        if pick % 5 == 0 and len(letters) >= 8:
+            s = ["secret=", "password=", "api_key=", "passwd="][pick // 5 % 4] + letters
+        elif pick % 5 in (1, 2) and value:
+            left, s = ["password is ", "key: ", "key: (", "the token is ", "secret: "][pick // 5 % 5], [value, value.upper()[:20], value[:13], "AK" + value.upper()[:18]][pick // 2 % 4]
+            right = ")" if left.endswith("(") else right if right in (",", ";") else ""
+    return text[:lo] + left + s + right + text[hi:], (lo + len(left), lo + len(left) + len(s), kind)
+
+
+def seeded(text: str) -> list[Span]:
+    """The base spans and what a few secret formats show, without the marks that end a sentence or a bracket behind them."""
+    return base_spans(text) + [(m.start(), m.start() + len(m[0].rstrip(".,;:!?)]}>'")), "secret") for m in SEEDS.finditer(text)]
 
 
 def train(docs: DataFrame) -> Field:
-    """A field from the SAMPLE documents of smallest hash that hold a digit, an at or an equals sign; only these come to the driver."""
-    hot = docs.filter(F.col("text").rlike("[0-9@=]") & (F.length("text") <= 20_000))
+    """A field from the SAMPLE documents of smallest hash that hold a digit, an at or an equals sign, and, as secrets are rare, from the
+    secrets of the SECRETS such documents that show one of the few formats; only these come to the driver."""
+    short = docs.filter(F.length("text") <= 20_000)
+    samples = [(smallest_hashes(short.filter(F.col("text").rlike(pattern)), ["doc_id", "text"], n, "text"), secrets) for pattern, n, secrets in (("[0-9@=]", SAMPLE, False), (SEEDS.pattern, SECRETS, True))]
     examples = []
-    for number, text in enumerate(smallest_hashes(hot, ["doc_id", "text"], SAMPLE, "text")):
-        labelled = base_spans(text) + [(*m.span(), "secret") for m in SEEDS.finditer(text)]
-        for zone in zones(text):
-            lo, hi = zone[0][0], zone[-1][1]
-            inside = [s for s in labelled if s[0] >= lo and s[1] <= hi]
-            versions = [(text[lo:hi], [(a - lo, b - lo, k) for a, b, k in inside])]
+    for number, (text, only_secrets) in enumerate((t, secrets) for texts, secrets in samples for t in texts):
+        labelled = seeded(text)
+        for chunks in hot_chunks(text):
+            lo, hi = chunks[0][0], chunks[-1][1]
+            inside = [(a - lo, b - lo, k) for a, b, k in labelled if a >= lo and b <= hi]
+            if only_secrets and not any(k == "secret" for _, _, k in inside):
+                continue
+            versions = [(text[lo:hi], inside)]
             if len(inside) == 1:
-                t, s = altered(*[(text[lo:hi]), versions[0][1][0]], number)
-                versions.append((t, [s]))
+                versions += [(t, [s]) for t, s in (altered(text[lo:hi], inside[0], number + n) for n in ALTERED[inside[0][2]])]
             for t, spans in versions:
                 for z in zones(t):
-                    examples.append((t, z, {(a, b): KINDS.index(k) for a, b, k in spans}))
+                    # a zone whose labels don't begin and end at units can't be learned from
+                    starts, ends = {u[0] for u in z}, {u[1] for u in z}
+                    here = [(a, b, k) for a, b, k in spans if a < z[-1][1] and b > z[0][0]]
+                    if all(a in starts and b in ends for a, b, _ in here):
+                        examples.append((t, z, {(a, b): KINDS.index(k) for a, b, k in here}))
     field = Field()
     field.train(examples)
     return field
