@@ -88,3 +88,16 @@ def test_units_lie_side_by_side_and_cover_what_is_hot():
     assert all(a[1] <= b[0] for a, b in zip(units, units[1:])) and {text[a:b] for a, b in units} >= {"x", "=", "1", "b.c@d-e", "555", "1-2", "7", '"', "(", ")", ","}
     assert all(any(a <= k < b for a, b in units) for k, c in enumerate(text) if c in "0123456789@=")
     assert sum(text[a:b] == "(" for a, b in units) < 20  # far from what is hot, nothing is scored
+
+
+def test_lines_of_hosts_without_a_name(spark):
+    """Documents of no source and of the empty source are two hosts, and a common line leaves all documents of its host."""
+    from tidemill.llm import quality
+
+    line = "a line that very many documents of a host share"
+    rows = [(i, f"{line}\nwords of document {i} that are its own and no other's, ten and more", None if i < 11 else "") for i in range(16)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["kept_text"] for r in quality.quality(frame).collect()}
+    assert {i for i, t in got.items() if line in t} == set(range(11, 16))
+    spared = {r["doc_id"]: r["kept_text"] for r in quality.quality(frame, spare_first=True).collect()}
+    assert {i for i, t in spared.items() if line in t} == {0, *range(11, 16)}

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, **target) -> DataFrame:
 
     Sorting by (copy, turn, place) gives the order of training: each pass is a fresh permutation of each host's blocks.
     A host gets its weight of the budget in whole passes and one partial pass that ends with the last document which
-    fits. Documents without a word take no part; a null source is a host of its own; rows that repeat an id stand or
+    fits. Documents without a word take no part; null and empty sources are one host; rows that repeat an id stand or
     fall together; very long texts count with all their words; other columns pass through (those of the added names are
     replaced); an empty table gives an empty result. See ``exponents`` for the targets.
     """

@@ -68,7 +68,7 @@ def common_lines(lines: DataFrame, limit: int, spare_first: bool) -> DataFrame:
 
 def _marked(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_digest": digest, "_unit": F.coalesce(F.col("doc_id").cast("long"), digest)})
+    return docs.withColumns({"_host": F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")), "_digest": digest, "_unit": F.coalesce(F.col("doc_id").cast("long"), digest)})
 
 
 def _hits(marked: DataFrame, limit: int, spare_first: bool) -> DataFrame:
@@ -89,7 +89,7 @@ def _verdict(counted: DataFrame, min_words: int, kept_percent: int) -> DataFrame
     return counted.withColumns({"n_kept_words": left.cast("long"), "kept": ~F.col("base_failed") & ~depleted})
 
 
-def verdicts(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS, kept_percent: int = KEPT_PERCENT, spare_first: bool = True) -> DataFrame:
+def verdicts(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS, kept_percent: int = KEPT_PERCENT, spare_first: bool = False) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_kept_words)`` for every
     row of ``docs``, by the rules of ``quality``. Only numbers are shuffled, never texts."""
     marked = _marked(docs.select("doc_id", "text", "source"))
@@ -100,14 +100,14 @@ def verdicts(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS,
     return out.select(*counts, "kept", "n_kept_words")
 
 
-def quality(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS, kept_percent: int = KEPT_PERCENT, spare_first: bool = True) -> DataFrame:
+def quality(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS, kept_percent: int = KEPT_PERCENT, spare_first: bool = False) -> DataFrame:
     """``docs(doc_id, text, source)`` with the counts, ``kept_text`` (the text without common lines) and ``kept``.
 
     A line, lower-cased and with single spaces, is common if more than ``limit`` distinct documents of its host (``source``)
-    have it. Common lines are removed from all of the host's documents but the one of smallest id, so that of many
-    copies one stays whole (``spare_first`` off: from all). A document is depleted if under ``min_words`` words or
+    have it. Common lines are removed from all of the host's documents; with ``spare_first`` from all but the one of smallest id,
+    so that of many copies one stays whole. A document is depleted if under ``min_words`` words or
     ``kept_percent`` of its words remain. ``kept`` is false for those that fail the base rule or are depleted. Null texts count as
-    empty and so fail; a null source is a host of its own; rows that repeat an id are one document; rows without an id are
+    empty and so fail; a null source is a host of its own, apart from an empty one; rows that repeat an id are one document; rows without an id are
     told apart by their text. Very long texts are cut into lines like all others, in time linear in their length. Other
     columns pass through (those of the added names are replaced); an empty table gives an empty result.
     """
@@ -129,18 +129,18 @@ def quality(docs: DataFrame, limit: int = MIN_DOCS, min_words: int = MIN_WORDS,
 
 
 def op5_line_frequency_quality(spark, sf_dir):
-    """Counts and verdict for every document; the first document of a host keeps its common lines."""
+    """Counts and verdict for every document."""
     return verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op5_line_frequency_fixed(spark, sf_dir):
-    """The same without mercy for the first document."""
-    return verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spare_first=False)
+def op5_line_frequency_spared(spark, sf_dir):
+    """The same, but the first document of a host keeps its common lines, so that of many copies one stays."""
+    return verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spare_first=True)
 
 
-OP5_SQL = r"""
+OP5_SPARED_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS rid, doc_id, {'n': source IS NULL, 's': coalesce(source, '')} AS host, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 win AS (SELECT rid, unnest(generate_series(1, len(w) - 4)) AS i, unnest([array_to_string(w[k:k+4], ' ') FOR k IN generate_series(1, len(w) - 4)]) AS g FROM d WHERE len(w) >= 5),
@@ -165,4 +165,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-OP5_FIXED_SQL = OP5_SQL.replace(" WHERE doc_id <> first", "")
+OP5_SQL = OP5_SPARED_SQL.replace(" WHERE doc_id <> first", "")

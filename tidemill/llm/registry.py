@@ -14,7 +14,7 @@ def queries() -> dict:
         "op3_odd_sketch_near_dedup": near_dedup.op3_odd_sketch_near_dedup,
         "op4_temperature_mixing": mixing.op4_temperature_mixing,
         "op5_line_frequency_quality": quality.op5_line_frequency_quality,
-        "op5_line_frequency_fixed": quality.op5_line_frequency_fixed,
+        "op5_line_frequency_spared": quality.op5_line_frequency_spared,
         "op6_semi_markov_pii": pii.op6_semi_markov_pii,
         "op7_compression_language": language.op7_compression_language,
         "op8_speculative_bpe": bpe.op8_speculative_bpe,
@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quotation_roundtrip": quotes.ROUNDTRIP_SQL,
         "op4_temperature_mixing": mixing.OP4_SQL,
         "op5_line_frequency_quality": quality.OP5_SQL,
-        "op5_line_frequency_fixed": quality.OP5_FIXED_SQL,
+        "op5_line_frequency_spared": quality.OP5_SPARED_SQL,
         "op11_coordinate_hard_negatives": hard_negatives.OP11_SQL,
         "op13_radix_prefix_trie": prefix_trie.OP13_SQL,
     }
