@@ -24,8 +24,9 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that too many documents of their host share."""
-    return _counted(quality(docs).filter("kept"), "kept_text").select(docs.columns)
+    """Documents that pass, without the lines that too many documents of their host share; a host's first such document keeps them,
+    as else no member of a large group of copies would be left for near-dedup to keep."""
+    return _counted(quality(docs, spare_first=True).filter("kept"), "kept_text").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
