@@ -155,9 +155,9 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in quality.quality(docs, spare_first=False).collect()}
     assert got[5]["kept_text"] == body(5) and not got[0]["kept"] and got[99]["kept_text"] == rows[1][1] and got[99]["kept"]
-    spared = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    spared = {r["doc_id"]: r for r in quality.quality(docs, spare_first=True).collect()}
     assert spared[0]["kept"] and spared[0]["kept_text"] == rows[0][1] and all(spared[i]["kept_text"] == body(i) for i in range(1, 40))
-    numbers = {r["doc_id"]: (r["kept"], r["n_kept_words"]) for r in quality.verdicts(docs).collect()}
+    numbers = {r["doc_id"]: (r["kept"], r["n_kept_words"]) for r in quality.verdicts(docs, spare_first=True).collect()}
     assert numbers == {i: (r["kept"], r["n_kept_words"]) for i, r in spared.items()}
 
 
@@ -166,7 +166,7 @@ def test_common_lines_dont_depend_on_the_size_of_their_host(spark):
     rows = [(i, f"{body(i)}\nAll rights reserved" if i < 12 else body(i), "h") for i in range(400)]
     rows += [(1000 + i, f"{body(1000)}\nA copied line", "h") for i in range(12)]  # of copies of one text the first stays whole
     rows.append((2000, "All rights reserved\n" * 3 + "only nine own words are left in this document", "h"))
-    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), spare_first=True).collect()}
     assert all(got[i]["kept_text"] == body(i) and got[i]["kept"] for i in range(1, 12)) and got[0]["kept_text"] == rows[0][1]
     assert got[1000]["kept_text"] == rows[400][1] and got[1000]["kept"] and not any(got[1000 + i]["kept"] for i in range(1, 12)) and not got[2000]["kept"]
 
@@ -308,7 +308,7 @@ def test_pipeline_stages(spark, sf, documents, odd):
     """Each stage against brute force over what the one before kept."""
     docs = documents.drop("nothing")
     kept = corpus_pipeline.stored(corpus_pipeline.quality_rules(spark, docs, sf), "t1").cache()
-    verdict = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
+    verdict = {r["doc_id"] for r in quality.quality(docs, spare_first=True).filter("kept").collect()}
     assert {r["doc_id"] for r in kept.collect()} == verdict and kept.columns == docs.columns
     single = corpus_pipeline.stored(corpus_pipeline.near_dedup(spark, kept, sf), "t2").cache()
     want = components([tuple(r) for r in kept.select("doc_id", "text").collect()], 5)
