@@ -240,14 +240,6 @@ def exclusion_reasons(spark, sf):
     return x.groupBy("split").agg(F.count_if(t & ~p).alias("target_only"), F.count_if(p & ~t).alias("predictor_only"), F.count_if(t & p).alias("both_reasons"), F.count_if(p & F.col("warm")).alias("warm_up"))
 
 
-@query("null_families", f"""WITH {q.ALL}, u AS (UNPIVOT (SELECT split, {", ".join(f"CAST(lag_{k} IS NULL AS INT) AS lag_{k}" for k in (1, 24, 72))}, {", ".join(f"CAST(mean_{w} IS NULL AS INT) AS mean_{w}" for w in (6, 24, 72))} FROM ft) ON lag_1, lag_24, lag_72, mean_6, mean_24, mean_72 INTO NAME c VALUE v)
-SELECT split, split_part(c, '_', 1) AS family, CAST(sum(v) AS BIGINT) AS n_null FROM u GROUP BY 1, 2""")
-def null_families(spark, sf):
-    names = ["lag_1", "lag_24", "lag_72", "mean_6", "mean_24", "mean_72"]
-    u = ft.featured(spark, sf).select("split", *names).unpivot(["split"], names, "c", "v")
-    return u.groupBy("split", F.split_part("c", F.lit("_"), F.lit(1)).alias("family")).agg(F.count_if(F.col("v").isNull()).alias("n_null"))
-
-
 @query("weather_sole_cause", f"WITH {q.ALL}, x AS (SELECT split, temp_24 IS NULL AS wx, (lag_72 IS NULL OR mean_72 IS NULL) AS other FROM ft) SELECT split, CAST(count(CASE WHEN wx AND NOT other THEN 1 END) AS BIGINT) AS weather_only, CAST(count(CASE WHEN other AND NOT wx THEN 1 END) AS BIGINT) AS other_only FROM x GROUP BY 1")
 def weather_sole_cause(spark, sf):
     x = ft.featured(spark, sf).select("split", F.col("temperature_mean_24").isNull().alias("w"), F.expr("lag_72 is null or mean_72 is null").alias("o"))
@@ -377,13 +369,6 @@ def gap_row_presence(spark, sf):
     return n.select("station_id", "start_ts", (F.col("n") == F.col("hours")).alias("throughout"))
 
 
-@query("worst_months", f"WITH {SP}, {q.frame(2.0)} SELECT station_id, date_trunc('week', ts) AS week, round(100.0 * count(water_level) / count(*), 6) AS percent FROM f GROUP BY 1, 2 ORDER BY percent, station_id, week LIMIT 12")
-def worst_months(spark, sf):
-    """The twelve least complete weeks (the test tables hold one month only)."""
-    w = filled(spark, sf).groupBy("station_id", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week")).agg(F.round(100.0 * F.count("water_level") / F.count("*"), 6).alias("percent"))
-    return w.orderBy("percent", "station_id", "week").limit(12)
-
-
 _EPISODES = "ep AS (SELECT station_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS hours, max(water_level) AS peak, CAST(sum(CAST(imputed AS INT)) AS BIGINT) AS n_imputed FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts) - row_number() OVER (PARTITION BY station_id, coalesce(water_level >= 60, false) ORDER BY ts) AS k FROM f) WHERE water_level >= 60 GROUP BY station_id, k)"
 
 

@@ -122,18 +122,6 @@ def weekly_sunday(spark, sf):
     return w.select("station_id", F.col("sunday").cast("timestamp_ntz").alias("sunday"), F.round("total", 6).alias("total"), "hi", F.round(z, 5).alias("z"))
 
 
-_MONTHS = ", ".join(f"round(100.0 * count(CASE WHEN month(ts) = {m} THEN water_level END) / nullif(count(CASE WHEN month(ts) = {m} THEN 1 END), 0), 6) AS m{m:02d}" for m in range(1, 13))
-
-
-@query("monthly_matrix", f"WITH {SP}, {q.frame(2.0)} SELECT coalesce(station_id, 'all') AS station_id, {_MONTHS} FROM f GROUP BY GROUPING SETS ((station_id), ())")
-def monthly_matrix(spark, sf):
-    """Usable share by station and month, empty months kept, with a summary row of all stations: one pass by grouping sets."""
-    f = filled(spark, sf).withColumn("m", F.month("ts"))
-    share = lambda m: F.round(100.0 * F.count(F.when(F.col("m") == m, F.col("water_level"))) / F.nullif(F.count(F.when(F.col("m") == m, 1)), F.lit(0)), 6).alias(f"m{m:02d}")
-    both = f.groupingSets([[F.col("station_id")], []], F.col("station_id")).agg(*(share(m) for m in range(1, 13)))
-    return both.withColumn("station_id", F.coalesce("station_id", F.lit("all")))
-
-
 _TEXTS = "CASE event_id % 7 WHEN 0 THEN CAST(user_id % 50 AS VARCHAR) WHEN 1 THEN '-3' WHEN 2 THEN '2.5' WHEN 3 THEN 'nan' WHEN 4 THEN 'inf' WHEN 5 THEN '' ELSE 'x' || user_id END"
 
 

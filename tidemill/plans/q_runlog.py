@@ -246,8 +246,8 @@ def test_vs_cv(spark, sf, horizons=ft.EVERY):
 _REG = "rg AS (SELECT model, CASE WHEN actual < 50 THEN 'low' ELSE 'high' END AS regime, prediction, actual FROM pr)"
 
 
-@query("regime_performance", f"WITH {q.ALL}, {_REG} SELECT model, regime, {q.METRICS} FROM rg GROUP BY 1, 2")
-def regime_performance(spark, sf, horizons=ft.EVERY):
+@query("regime_halves", f"WITH {q.ALL}, {_REG} SELECT model, regime, {q.METRICS} FROM rg GROUP BY 1, 2")
+def regime_halves(spark, sf, horizons=ft.EVERY):
     return preds(spark, sf, horizons).groupBy("model", F.when(F.col("actual") < 50, "low").otherwise("high").alias("regime")).agg(*ft.metrics())
 
 
@@ -260,7 +260,7 @@ def regime_pivot(spark, sf, horizons=ft.EVERY):
 @query("tidy_regime_metrics", f"WITH {q.ALL}, {_REG}, m AS (SELECT model, regime, {q.METRICS} FROM rg GROUP BY 1, 2) SELECT model, regime, metric, v AS value FROM (SELECT model, regime, unnest(['mae', 'rmse']) AS metric, unnest([mae, rmse]) AS v FROM m)")
 def tidy_regime_metrics(spark, sf, horizons=ft.EVERY):
     """Regime metrics as one map for each model, parsed back into rows."""
-    m = regime_performance(spark, sf, horizons).select("model", F.explode(F.array(*(F.struct(F.concat(F.lit("test_regime_"), "regime", F.lit(f"_{k}")).alias("name"), F.col(k).alias("value")) for k in ("mae", "rmse")))).alias("e"))
+    m = regime_halves(spark, sf, horizons).select("model", F.explode(F.array(*(F.struct(F.concat(F.lit("test_regime_"), "regime", F.lit(f"_{k}")).alias("name"), F.col(k).alias("value")) for k in ("mae", "rmse")))).alias("e"))
     maps = m.groupBy("model").agg(F.map_from_entries(F.collect_list("e")).alias("metrics")).select("model", F.explode("metrics").alias("name", "value"))
     part = lambda i: F.regexp_extract("name", "^test_regime_([a-z]+)_([a-z0-9]+)$", i)
     return maps.select("model", part(1).alias("regime"), part(2).alias("metric"), "value")
