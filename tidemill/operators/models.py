@@ -24,29 +24,51 @@ def gram(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return sums.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
 
 
-def solve(gram_: pd.DataFrame, predictors: list[str], target: str, alpha: float) -> dict[str, float]:
-    """Ridge coefficients on scaled predictors from one group's sums, back on the original scale. Constant columns get 0."""
-    s = {(r.i, r.j): r.s for r in gram_.itertuples()} | {(r.j, r.i): r.s for r in gram_.itertuples()}
-    n = s["one", "one"]
-    mean = {c: s["one", c] / n for c in [*predictors, target]}
-    cov = lambda a, b: s[a, b] - n * mean[a] * mean[b]
-    scale = np.array([np.sqrt(max(cov(c, c), 0) / n) for c in predictors])
-    scale[scale < 1e-12] = 1
-    a = np.array([[cov(x, y) for y in predictors] for x in predictors]) / np.outer(scale, scale)
-    b = np.array([cov(x, target) for x in predictors]) / scale
-    coefficient = np.linalg.lstsq(a + alpha * np.eye(len(predictors)), b, rcond=None)[0] / scale
-    return dict(zip(predictors, coefficient.tolist())) | {"intercept": mean[target] - sum(c * mean[p] for c, p in zip(coefficient, predictors))}
+def solve(sums: np.ndarray, alphas: list[float]) -> np.ndarray:
+    """Ridge fits of a stack of groups, from sums of products of (1, predictors, target): groups x penalties x (intercept, coefficients).
 
+    Predictors are scaled by their deviation and the result is back on the original scale. Constant columns get 0; where the
+    penalty leaves a fit singular, the smallest solution counts.
+    """
+    n = sums[:, 0, 0][:, None]
+    mean = sums[:, 0, 1:] / n
+    cov = sums[:, 1:, 1:] - n[:, :, None] * mean[:, :, None] * mean[:, None, :]
+    scale = np.sqrt(np.maximum(np.einsum("gii->gi", cov)[:, :-1], 0) / n)
+    scale = np.where(scale < 1e-12, 1, scale)
+    a, b = cov[:, :-1, :-1] / scale[:, :, None] / scale[:, None, :], cov[:, :-1, -1] / scale
+    p = a.shape[1]
+    out = np.empty((len(sums), len(alphas), 1 + p))
+    for k, alpha in enumerate(alphas):
+        inverse = np.linalg.pinv(a + alpha * np.eye(p), rcond=np.finfo(float).eps * p, hermitian=True)
+        out[:, k, 1:] = np.einsum("gij,gj->gi", inverse, b) / scale
+        out[:, k, 0] = mean[:, -1] - np.einsum("gi,gi->g", out[:, k, 1:], mean[:, :-1])
+    return out
 
-def ridge(rows: DataFrame, keys: list[str], predictors: list[str], target: str, alphas: list[float]) -> DataFrame:
-    """``(keys, alpha, feature, coefficient)``: every group and penalty from one pass over the rows."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields) + ", alpha double, feature string, coefficient double"
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = [(*group[keys].iloc[0], a, f, c) for a in alphas for f, c in solve(group, predictors, target, a).items()]
-        return pd.DataFrame(found, columns=[*keys, "alpha", "feature", "coefficient"])
 
-    return gram(rows, keys, [*predictors, target]).groupBy(*keys).applyInPandas(fit, schema)
+def ridge(rows: DataFrame, keys: list[str], predictors: list[str], target: str, alphas: list[float]) -> DataFrame:
+    """``(keys, alpha, feature, coefficient)``: every group and penalty from one pass over the rows. The sums of a group are one row, and
+    the groups of a batch are solved together, so any number of groups needs no shuffle but that of the sums."""
+    names = ["one", *predictors, target]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    whole = rows.withColumn("one", F.lit(1.0)).filter(" and ".join(f"{c} is not null" for c in names[1:]))
+    sums = whole.groupBy(*keys).agg(*(F.sum(F.col(names[i]) * F.col(names[j])).cast("double").alias(f"_s{k}") for k, (i, j) in enumerate(pairs)))
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "alpha double, feature string, coefficient double"])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            g = np.zeros((len(batch), len(names), len(names)))
+            for k, (i, j) in enumerate(pairs):
+                g[:, i, j] = g[:, j, i] = batch[f"_s{k}"].to_numpy()
+            found, each = solve(g, alphas), len(alphas) * (1 + len(predictors))
+            out = batch[keys].loc[batch.index.repeat(each)].reset_index(drop=True)
+            out["alpha"] = np.tile(np.repeat(alphas, 1 + len(predictors)), len(batch))
+            out["feature"] = ["intercept", *predictors] * (len(alphas) * len(batch))
+            out["coefficient"] = found.ravel()
+            yield out
+
+    return sums.mapInPandas(fit, kinds)
 
 
 def ar_rows(frames: DataFrame, p: int) -> DataFrame:

@@ -236,9 +236,9 @@ def cohort_summary(spark, sf, horizons=ft.EVERY):
     return runs.select("experiment").distinct().crossJoin(F.broadcast(cohort.agg(F.max("n").alias("cohort"))))
 
 
-@query("test_vs_cv", f"WITH {q.ALL}, m AS (SELECT model, horizon <= 6 AS near, {q.METRICS} FROM pr GROUP BY 1, 2) SELECT a.model, round(a.rmse, 6) AS near_rmse, round(b.rmse, 6) AS far_rmse, round(100 * (b.rmse - a.rmse) / a.rmse, 4) AS delta_percent FROM m a JOIN m b USING (model) WHERE a.near AND NOT b.near")
-def test_vs_cv(spark, sf, horizons=ft.EVERY):
-    """Two phases of one metric side by side with the relative change, from one conditional aggregate."""
+@query("near_vs_far_horizons", f"WITH {q.ALL}, m AS (SELECT model, horizon <= 6 AS near, {q.METRICS} FROM pr GROUP BY 1, 2) SELECT a.model, round(a.rmse, 6) AS near_rmse, round(b.rmse, 6) AS far_rmse, round(100 * (b.rmse - a.rmse) / a.rmse, 4) AS delta_percent FROM m a JOIN m b USING (model) WHERE a.near AND NOT b.near")
+def near_vs_far_horizons(spark, sf, horizons=ft.EVERY):
+    """Near and far horizons of one metric side by side with the relative change, from one conditional aggregate."""
     m = preds(spark, sf, horizons).groupBy("model").agg(*(F.round(F.sqrt(F.avg(F.when(c, F.pow(F.col("prediction") - F.col("actual"), 2)))), 6).alias(n) for n, c in (("near_rmse", F.col("horizon") <= 6), ("far_rmse", F.col("horizon") > 6))))
     return m.withColumn("delta_percent", F.round(100 * (F.col("far_rmse") - F.col("near_rmse")) / F.col("near_rmse"), 4))
 
@@ -273,8 +273,7 @@ def high_water(spark, sf, horizons=ft.EVERY):
     return p.groupBy("part", "model").agg(*ft.metrics())
 
 
-@query("sealed_test", f"WITH {q.ALL} SELECT model, horizon, {q.METRICS} FROM pr WHERE split = 'train' GROUP BY 1, 2")
-def sealed_test(spark, sf, horizons=ft.EVERY, split="train"):
+def sealed_test(spark, sf, horizons=ft.EVERY, split="test"):
     """One scoring pass, refused if a forecast isn't finite."""
     p = preds(spark, sf, horizons).filter(F.col("split") == split)
     finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
@@ -292,15 +291,6 @@ def score_linear(spark, sf, horizons=ft.EVERY):
     return long.join(F.broadcast(weights), "feature").groupBy(F.col("ts").alias("issue_ts"), "horizon").agg(F.round(F.sum(F.col("w") * F.col("value")), 6).alias("prediction"))
 
 
-@query("feature_subsets", f"WITH {q.BASE} SELECT subset, count(*) AS n FROM (SELECT unnest(['level', 'change', 'rolling', 'weather', 'all']) AS subset), (SELECT unnest([" + ", ".join(f"'{n}'" for n in ft.feature_names()) + "]) AS c) WHERE (SELECT count(*) FROM s) >= 0 AND ((subset = 'level' AND c LIKE 'lag%') OR (subset = 'change' AND c LIKE 'change%') OR (subset = 'rolling' AND regexp_matches(c, '^(mean|std|min|max)_')) OR (subset = 'weather' AND regexp_matches(c, '^(precipitation|temperature)')) OR (subset = 'all' AND c <> 'target_valid')) GROUP BY 1")
-def feature_subsets(spark, sf):
-    """Ablation subsets by the names of a frame's columns."""
-    names = [c for c in ft.featured(spark, sf).columns if c in ft.feature_names()]
-    c = table(spark, sf, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("c"))
-    rules = {"level": F.col("c").startswith("lag"), "change": F.col("c").startswith("change"), "rolling": F.col("c").rlike("^(mean|std|min|max)_"), "weather": F.col("c").rlike("^(precipitation|temperature)"), "all": F.col("c") != "target_valid"}
-    return c.withColumn("subset", F.explode(F.array_compact(F.array(*(F.when(r, n) for n, r in rules.items()))))).groupBy("subset").agg(F.count("*").alias("n"))
-
-
 @query("name_parts", "SELECT event_id, split_part(event_type || '__water_level_lag_' || (user_id % 72) || 'h', '__', 1) AS station, regexp_extract(event_type || '__water_level_lag_' || (user_id % 72) || 'h', '_lag_(\\d+)h$', 1) AS hours FROM events")
 def name_parts(spark, sf):
     name = F.concat("event_type", F.lit("__water_level_lag_"), (F.col("user_id") % 72).cast("string"), F.lit("h"))

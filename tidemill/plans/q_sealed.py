@@ -45,6 +45,15 @@ def sealed_pass(spark, sf):
     return sealed.seal(test_forecasts(spark, sf), f"{shared_dir(spark)}/sealed-{uuid.uuid4().hex}", "e1", cutoffs(spark, sf), ALARM)
 
 
+@query("sealed_test", f"WITH {_SEALED} SELECT model, horizon, {q.METRICS} FROM pr GROUP BY 1, 2")
+def sealed_test(spark, sf):
+    """The test rows' metrics by horizon, refused if a forecast isn't finite."""
+    p = test_forecasts(spark, sf)
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    checked = p.withColumn("prediction", F.when(finite, F.col("prediction")).otherwise(F.raise_error(F.lit("a forecast is not finite")).cast("double")))
+    return checked.groupBy("model", "horizon").agg(*ft.metrics())
+
+
 @query("regime_scores", f"WITH {q.ALL}, {_QUART}, {_RE} SELECT model, regime, horizon, CAST(coalesce(n, 0) AS BIGINT) AS n, mae, rmse, me, r2 FROM sk LEFT JOIN mt USING (model, regime, horizon)")
 def regime_scores(spark, sf):
     """All complete issue times by regime, with a row for all regimes and for all horizons together."""
