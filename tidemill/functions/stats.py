@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.functions.stationarity import autocorrelation, autocovariances
+
 
 def average_rank(over_keys: list[str], column: str):
     """Rank among rows of equal keys, ties sharing the average of their places."""
@@ -33,9 +35,6 @@ def histogram(rows: DataFrame, keys: list[str], column: str, bins: int) -> DataF
 
 
 def autocorrelations(series: DataFrame, lags: int) -> DataFrame:
-    """``(lag, rho)`` of ``(i, x)``, autocovariances with the full n below: one equi-join on the shifted place, one aggregate."""
-    moments = series.agg(F.avg("x").alias("m"), F.count("*").alias("n"), F.var_pop("x").alias("v"))
-    centred = series.crossJoin(F.broadcast(moments)).select("i", (F.col("x") - F.col("m")).alias("c"), "n", "v")
-    shifted = centred.select((F.col("i")).alias("at"), F.col("c").alias("d"))
-    pairs = centred.select("c", "n", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lags).cast("long"))).alias("lag"), "i").withColumn("at", F.col("i") + F.col("lag"))
-    return pairs.join(shifted, "at").groupBy("lag").agg((F.sum(F.col("c") * F.col("d")) / F.first("n") / F.first("v")).alias("rho"), F.first("n").alias("n"))
+    """``(lag, rho, n)`` of ``(i, x)``, autocovariances with the full n below."""
+    one = series.withColumn("series", F.lit(1))
+    return autocorrelation(autocovariances(one, ["series"], lags), ["series"]).select("lag", "rho", "n")

@@ -95,9 +95,12 @@ def ljung_box_lags(spark, sf):
 def lag_scan_72(spark, sf):
     """Correlation with the target at every lag up to three days."""
     f = filled(spark, sf, "dense", 0.0).select("station_id", "ts", "water_level")
-    moved = f.filter("station_id <> 'click'").select("station_id", "water_level", F.explode(F.sequence(F.lit(0), F.lit(72))).alias("lag"), "ts").withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, lag)"))
+    w = Window.partitionBy("station_id").orderBy("ts")
     own = f.filter("station_id = 'click'").select("ts", F.col("water_level").alias("y"))
-    found = moved.join(own, "ts").groupBy("station_id", F.col("lag").cast("long").alias("lag")).agg(F.round(F.corr("water_level", "y"), 6).alias("r"))
+    # one join on the hour; each row brings its last levels along, and lags part only within the sums
+    trailing = f.filter("station_id <> 'click'").select("station_id", "ts", F.array(*(F.lag("water_level", k).over(w) for k in range(73))).alias("x"))
+    pairs = trailing.join(own, "ts").select("station_id", "y", F.posexplode("x").alias("lag", "x"))
+    found = pairs.groupBy("station_id", F.col("lag").cast("long").alias("lag")).agg(F.round(F.corr("x", "y"), 6).alias("r"))
     return found.withColumn("best", F.row_number().over(Window.partitionBy("station_id").orderBy(F.desc("r"), "lag")) == 1)
 
 

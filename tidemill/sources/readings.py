@@ -53,6 +53,7 @@ def landed_bodies(events: DataFrame, most: int = BODY_ROWS) -> DataFrame:
     """``(station_id, body)``: events landed as JSON histories by station, hour and piece, of about ``most`` rows each."""
     item = F.struct(F.date_format("ts", "dd.MM.yyyy'T'HH:mm:ss'+0000'").alias("sourceDate"), F.round("value", 3).alias("value"))
     rows = events.select(F.col("event_type").alias("station_id"), F.date_trunc("HOUR", "ts").alias("hour"), item.alias("item"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    rows = stored(rows, "landing")  # the numbers of rows are written once, so that a task that runs again deals them out alike
     # the key has no nulls; where two groups share one, they only get more pieces
     rows = rows.withColumn("key", F.xxhash64("station_id", "hour"))
     sizes = stored(rows.groupBy("key").agg(F.ceil(F.count("*") / most).alias("pieces")), "pieces")
