@@ -548,6 +548,59 @@ def test_neighbours_over_several_shards(spark, monkeypatch):
     assert all(got[q] == np.argsort(-cosine[q], kind="stable")[:5].tolist() for q in range(0, 2000, 50))
 
 
+def clustered(n=6000, dim=12, centres=40):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + 0.03 * rng.normal(size=(n, dim))
+    x[rng.random(n) < 1 / 3] = x[0]  # a third of all rows are one vector
+    return x
+
+
+def nearest_by_hand(x, query, k=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit[query], 12)
+    score[query] = -2
+    return np.argsort(-score, kind="stable")[:k].tolist()
+
+
+def test_clustered_queries_reach_few_shards_and_miss_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST", 50)
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    x = clustered()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame).toPandas().sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list)
+    assert all(got[q] == nearest_by_hand(x, q) for q in range(0, len(x), 50)) and len(got) == len(x) // 50
+    routes = neighbours.routed(neighbours.usable(frame), 5)
+    shards = sum(routes.pieces.values())
+    unit = neighbours.directions(x[::50])
+    known = np.array([np.sort(neighbours.directions(x) @ u)[-6] for u in unit])
+    sent = sum(len(at) * routes.shards(12, leaf) for leaf, at in routes.reached(12, unit, neighbours.chord(known) + neighbours.SLACK, 1.0))
+    assert shards > 60 and sent / len(unit) < shards / 10
+
+
+def test_rows_of_one_vector_go_by_their_smallest_ids():
+    ids = np.array([9, 4, 4, 7, 1, 3, 2, 8])
+    values = np.array([[1.0, 0], [1, 0], [1, 0], [1, 0], [0, 1], [1, 0], [0, 1], [1, 0]])
+    assert ids[neighbours.firsts(values, ids, 2)].tolist() == [1, 2, 3, 4, 7]
+
+
+def test_a_row_is_in_the_same_leaf_whatever_lies_beside_it():
+    unit = neighbours.directions(clustered(2000))
+    tree = neighbours.Leaves(unit[:500], 16)
+    assert tree.n > 8 and (tree.leaf(unit) == np.concatenate([tree.leaf(unit[i : i + 7]) for i in range(0, 2000, 7)])).all()
+
+
+def test_neighbours_of_several_dimensions_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST", 100)
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(1500)] + [(50, [1.0, 2.0]), (60, [2.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 1500, 100):
+        same = [i for i, v in rows[:1500] if len(v) == len(rows[q][1])]
+        want = [same[j] for j in nearest_by_hand(np.array([rows[i][1] for i in same]), same.index(q))]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_windows_are_told_apart_by_both_hashes():
     first = np.array([5, 5, 5, 9], np.uint64)
     assert substring_dedup._repeats(np.array([1, 2, 3, 4]), first, np.array([1, 1, 2, 1], np.uint32)).tolist() == [False, True, False, False]

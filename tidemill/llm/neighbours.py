@@ -63,6 +63,8 @@ class VPTree:
             if isinstance(node, np.ndarray):
                 near = np.round(queries[at] @ self.unit[node].T, 12)
                 near[self.ids[node][None, :] == own[at][:, None]] = -np.inf
+                some = (near >= np.maximum(best[at][:, -1], known[at] - SLACK)[:, None]).any(axis=1)  # the others keep what they have
+                at, near = at[some], near[some]
                 first = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ids ascend in a leaf, so ties go to the smaller
                 score = np.concatenate([best[at], np.take_along_axis(near, first, 1)], axis=1)
                 found = np.concatenate([rows[at], node[first]], axis=1)
@@ -304,7 +306,7 @@ def routed(rows: DataFrame, k: int) -> Routes:
     """Leaves by a sample of at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``, taken by a hash of their ids; the shards of a leaf
     by the count of all its rows."""
     n, widest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    bound = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest)))
+    bound = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest), 32 * APART * -(-n // most(widest))))
     share = min(1.0, 0.9 * bound / max(n, 1))
     drawn = rows if share == 1 else rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample: dict[int, list[np.ndarray]] = {}
