@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemill.config import TARGET
 from tidemill.operators import features as ft
+from tidemill.plans.stored import stored
 
 # base name of a column: the feature that it shows, and whether it takes log1p
 COLUMNS = {
@@ -47,9 +48,10 @@ def design(spark: SparkSession, sf_dir: str, weather: bool) -> tuple[DataFrame,
     values = values.filter(~F.exists("v", lambda v: v.isNull()))
     whole = values.join(rows, "ts").groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("station_id", "v"))).alias("all"), F.any_value("y").alias("y"))
     whole = whole.filter(F.size("all") == len(stations))
-    order = Window.orderBy("ts")  # the hours of one station
-    placed = whole.withColumns({"pos": (F.row_number().over(order) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy())})
-    return placed.select("ts", "pos", "n", F.flatten("all.v").alias("x"), "y"), [(s, b) for s in stations for b in bases(weather)]
+    whole = stored(whole, "ridge-hours")
+    # places come from the bare hours of one station; the vectors don't pass through the one task that orders them
+    hours = whole.select("ts").withColumns({"pos": (F.row_number().over(Window.orderBy("ts")) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy())})
+    return whole.join(hours, "ts").select("ts", "pos", "n", F.flatten("all.v").alias("x"), "y"), [(s, b) for s in stations for b in bases(weather)]
 
 
 def _bounds(rows: DataFrame) -> list:
@@ -102,23 +104,35 @@ def fitted(m: np.ndarray, members: np.ndarray, p: int, alpha: float) -> np.ndarr
     return np.vstack([mean_y - mean @ b, b])
 
 
+def trained(sums: DataFrame, bounds: list, cuts: list[int], members: dict[str, np.ndarray], p: int) -> DataFrame:
+    """``(fold, log, subset, alpha, w)``: every candidate of every fold, solved in one task for each fold and scale. A fold's sums are
+    those of the segments before its end; a task holds one matrix, whose size comes from the columns and horizons alone."""
+    size = 1 + p + len(ft.EVERY)
+    ends = F.array(*(F.struct(F.lit(b["fold"]).cast("long").alias("fold"), F.lit(cuts.index(b["train_end"])).cast("long").alias("last")) for b in bounds))
+    own = sums.withColumn("f", F.explode(ends)).filter("segment <= f.last").groupBy("f.fold", "log", "place").agg(F.sum("s").alias("s"))
+
+    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((size, size))
+        m.flat[group["place"].to_numpy()] = group["s"].to_numpy()
+        rows = [(*key, subset, alpha, fitted(m, at, p, alpha).tobytes()) for subset, at in members.items() for alpha in ALPHAS]
+        return pd.DataFrame(rows, columns=["fold", "log", "subset", "alpha", "w"])
+
+    return own.groupBy("fold", "log").applyInPandas(solve, "fold long, log boolean, subset string, alpha double, w binary")
+
+
 def _search(spark: SparkSession, sf_dir: str, weather: bool, keep) -> DataFrame:
     rows, names = design(spark, sf_dir, weather)
     rows = keep(rows)
-    bounds, p = _bounds(rows), len(names)
+    p = len(names)
     logged = np.array([COLUMNS[b][1] for _, b in names])
     members = {s: np.array([k for k, (station, base) in enumerate(names) if rule(station == TARGET, base)]) for s, rule in SUBSETS.items() if (s in WITH_WEATHER) == weather}
-    bounds = [b for b in bounds if b["train_end"] > 1 and b["val_end"] > b["val_start"]]
-    cuts = sorted({b["train_end"] for b in bounds})
-    size = 1 + p + len(ft.EVERY)
-    sums = {log: np.zeros((len(cuts) + 1, size, size)) for log in (False, True)}
-    for r in segment_sums(rows, cuts, logged).collect():
-        sums[r["log"]][r["segment"]].flat[r["place"]] = r["s"]
+    bounds = [b for b in _bounds(rows) if b["train_end"] > 1 and b["val_end"] > b["val_start"]]
     models = []
-    for b in bounds:
-        for log, m in sums.items():
-            trained = m[: cuts.index(b["train_end"]) + 1].sum(0)
-            models += [(b["fold"], b["val_start"], b["val_end"], log, s, a, fitted(trained, c, p, a)) for s, c in members.items() for a in ALPHAS]
+    if bounds:
+        cuts = sorted({b["train_end"] for b in bounds})
+        spans = {b["fold"]: (b["val_start"], b["val_end"]) for b in bounds}
+        solved = trained(segment_sums(rows, cuts, logged), bounds, cuts, members, p).collect()  # 24 coefficients of each predictor and candidate
+        models = [(r["fold"], *spans[r["fold"]], r["log"], r["subset"], r["alpha"], np.frombuffer(r["w"]).reshape(-1, len(ft.EVERY))) for r in solved]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,7 +154,7 @@ def _search(spark: SparkSession, sf_dir: str, weather: bool, keep) -> DataFrame:
 def search(spark: SparkSession, sf_dir: str, keep=lambda df: df) -> DataFrame:
     """``(subset, alpha, log1p, fold, n, mae, rmse)`` of every candidate on every fold, over all horizons at once.
 
-    ``keep`` writes the designs, which are read twice. Sums and coefficients pass through the driver: their number comes from the
-    columns, horizons, folds and candidates alone. Folds too short to train or to validate give no rows.
+    ``keep`` writes the designs, which are read twice. Coefficients alone pass through the driver, 24 of each predictor and
+    candidate (2 MB for five stations, so this form suits some hundreds of stations). Folds too short to train or to validate give no rows.
     """
     return _search(spark, sf_dir, True, keep).unionByName(_search(spark, sf_dir, False, keep))
