@@ -181,7 +181,11 @@ class Routes:
 def firsts(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Of the rows of equal components, those of the ``k + 1`` smallest ids, each id once: no query needs another, as equal
     rows have equal cosines and go by their ids. Sorted by id."""
-    same = np.unique(np.ascontiguousarray(values).view(np.dtype((np.void, 8 * values.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    heads, counts = np.unique(values[:, 0].copy().view(np.int64), return_inverse=True, return_counts=True)[1:]
+    shared = np.flatnonzero(counts[heads.ravel()] > 1)  # the others equal no row
+    same = np.arange(len(ids))
+    rows = np.ascontiguousarray(values[shared]).view(np.dtype((np.void, 8 * values.shape[1]))).ravel()
+    same[shared] = len(ids) + np.unique(rows, return_inverse=True)[1].ravel()
     order = np.lexsort((ids, same))
     a, b = same[order], ids[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
